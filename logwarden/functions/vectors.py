@@ -27,10 +27,9 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy; a zero vector is returned unchanged."""
-    length = norm(v)
-    return F.when(
-        length > 0, F.transform(v, lambda x: (x / length).cast("float"))
-    ).otherwise(F.transform(v, lambda x: x.cast("float")))
+    length = F.array(F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)))
+    # Binding the norm as a lambda variable computes it once per vector.
+    return F.get(F.transform(length, lambda n: F.transform(v, lambda x: (x / n).cast("float"))), F.lit(0))
 
 
 def has_dim(v: Column, dim: int) -> Column:

@@ -206,6 +206,8 @@ def score(df: DataFrame, model: ForestModel | None, vector: str = "vector", name
             out[start : start + 1024] = -np.power(2.0, -depths / scale) - offset
         return pa.array(out)
 
+    # Marked so that a filter on the score is not moved below and run a second time.
+    raw = raw.asNondeterministic()
     usable = has_dim(F.col(vector), dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     safe = F.when(usable, F.col(vector).cast("array<float>")).otherwise(zero)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import DIGIT, MASK_BY_NAME, MASKS, collapse_spaces
+from logwarden.functions.text import DIGIT, MASK_BY_NAME, MASKS, Mask, collapse_spaces
+
+
+# Placeholder to the steps that write it; several timestamp steps share one.
+_STEPS_OF: dict[str, list[int]] = {}
+for _i, _mask in enumerate(MASKS):
+    _STEPS_OF.setdefault(_mask.label, []).append(_i)
 
 
 def mask_once(text: Column, name: str) -> Column:
@@ -16,46 +23,80 @@ def mask_once(text: Column, name: str) -> Column:
     return F.regexp_replace(text, mask.pattern, mask.label)
 
 
-def _guard(mask, text: Column, digit: Column) -> Column:
-    return F.lit(True) if mask.needs is None else mask.needs(text, digit)
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    Each masking step uses its text several times. As plain columns those uses
+    multiply whenever the optimizer moves an expression through the steps (a
+    filter on the template would grow to 3^16 copies); a lambda variable keeps
+    the expression linear.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _applies(mask: Mask, text: Column, digit: Column, then: Column, otherwise: Column) -> Column:
+    if mask.needs is None:
+        return then
+    return F.when(mask.needs(text, digit), then).otherwise(otherwise)
+
+
+def template(text: Column) -> Column:
+    """The template of a message; an empty string for NULL."""
+
+    def chain(digit: Column) -> Column:
+        current = text
+        for mask in MASKS:
+            current = _bind(current, partial(_masked, mask, digit))
+        return _bind(current, collapse_spaces)
+
+    return F.coalesce(_bind(text.rlike(DIGIT), chain), F.lit(""))
+
+
+def _masked(mask: Mask, digit: Column, text: Column) -> Column:
+    return _applies(mask, text, digit, F.regexp_replace(text, mask.pattern, mask.label), text)
 
 
 def add_template(df: DataFrame, column: str = "message", name: str = "normalized_message") -> DataFrame:
     """Template only: the cheap form, one regex pass per step that can apply."""
-    out = df.withColumns({name: F.col(column), "_digit": F.col(column).rlike(DIGIT)})
+    return df.withColumn(name, template(F.col(column)))
+
+
+def normalization(text: Column) -> Column:
+    """Struct (normalized_message, token_counts, total_replacements, changed)."""
+
+    def state(t: Column, digit: Column, counts: Column) -> Column:
+        return F.struct(t.alias("text"), digit.alias("digit"), counts.alias("counts"))
+
+    def step(mask: Mask, before: Column) -> Column:
+        t, digit = before["text"], before["digit"]
+
+        def replace(n: Column) -> Column:
+            after = F.when(n > 0, F.regexp_replace(t, mask.pattern, mask.label)).otherwise(t)
+            return state(after, digit, F.concat(before["counts"], F.array(n)))
+
+        count = F.regexp_count(t, F.lit(mask.pattern))
+        return _bind(_applies(mask, t, digit, count, F.lit(0)), replace)
+
+    def result(last: Column) -> Column:
+        hits = last["counts"]
+        sums = [reduce(lambda a, b: a + b, [hits[i] for i in steps]) for steps in _STEPS_OF.values()]
+        counts = F.map_from_arrays(F.array(*[F.lit(label) for label in _STEPS_OF]), F.array(*sums))
+        return F.struct(
+            last["text"].alias("normalized_message"),
+            F.map_filter(counts, lambda label, n: n > 0).alias("token_counts"),
+            F.aggregate(hits, F.lit(0), lambda acc, n: acc + n).alias("total_replacements"),
+            (~last["text"].eqNullSafe(text)).alias("changed"),
+        )
+
+    current = state(text, text.rlike(DIGIT), F.array().cast("array<int>"))
     for mask in MASKS:
-        text = F.col(name)
-        replaced = F.regexp_replace(text, mask.pattern, mask.label)
-        if mask.needs is not None:
-            replaced = F.when(_guard(mask, text, F.col("_digit")), replaced).otherwise(text)
-        out = out.withColumn(name, replaced)
-    return out.withColumn(name, collapse_spaces(F.col(name))).drop("_digit")
+        current = _bind(current, partial(step, mask))
+    clean = _bind(current, lambda s: state(collapse_spaces(s["text"]), s["digit"], s["counts"]))
+    return _bind(clean, result)
 
 
 def normalize(df: DataFrame, column: str = "message") -> DataFrame:
     """Add normalized_message, token_counts, total_replacements and changed."""
-    text = F.col("normalized_message")
-    out = df.withColumns({"normalized_message": F.col(column), "_digit": F.col(column).rlike(DIGIT)})
-    for i, mask in enumerate(MASKS):
-        hits = F.regexp_count(text, F.lit(mask.pattern))
-        counted = F.when(_guard(mask, text, F.col("_digit")), hits).otherwise(F.lit(0))
-        out = out.withColumn(f"_n{i}", counted)
-        replaced = F.regexp_replace(text, mask.pattern, mask.label)
-        out = out.withColumn("normalized_message", F.when(F.col(f"_n{i}") > 0, replaced).otherwise(text))
-    labels = list(dict.fromkeys(mask.label for mask in MASKS))
-    sums = [
-        reduce(lambda a, b: a + b, [F.col(f"_n{i}") for i, m in enumerate(MASKS) if m.label == label])
-        for label in labels
-    ]
-    counts = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*sums)), lambda k, v: v > 0
-    )
-    out = out.withColumn("normalized_message", collapse_spaces(text)).withColumn("token_counts", counts)
-    return out.withColumns(
-        {
-            "total_replacements": F.aggregate(
-                F.map_values("token_counts"), F.lit(0), lambda acc, n: acc + n
-            ),
-            "changed": ~F.col("normalized_message").eqNullSafe(F.col(column)),
-        }
-    ).drop("_digit", *[f"_n{i}" for i in range(len(MASKS))])
+    names = ("normalized_message", "token_counts", "total_replacements", "changed")
+    out = df.withColumn("_norm", normalization(F.col(column)))
+    return out.withColumns({name: F.col("_norm")[name] for name in names}).drop("_norm")

@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logwarden.functions.vectors import EPSILON, has_dim, l2_normalize, norm
+from logwarden.functions.vectors import EPSILON, has_dim, norm
 from logwarden.operators.ordering import row_index
 from logwarden.schemas import VECTOR_DIM
 
@@ -41,18 +41,19 @@ def encode(
     if encoder is None:
         words = Tokenizer(inputCol=column, outputCol="_words").transform(df)
         hashed = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(words)
-        raw = hashed.withColumn(name, vector_to_array("_tf", "float32")).drop("_words", "_tf")
-    else:
-
-        @F.pandas_udf("array<float>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = encoder()
-            for texts in batches:
-                matrix = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
-                yield pd.Series(list(matrix), index=texts.index)
-
-        raw = df.withColumn(name, run(F.col(column)))
-    return raw.withColumn(name, l2_normalize(F.col(name)))
+        unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
+        return unit.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder()
+        for texts in batches:
+            matrix = np.asarray(model(texts.fillna("").tolist()), dtype=np.float64)
+            length = np.linalg.norm(matrix, axis=1, keepdims=True)
+            unit = (matrix / np.where(length > 0, length, 1.0)).astype(np.float32)
+            yield pd.Series(list(unit), index=texts.index)
+
+    return df.withColumn(name, run(F.col(column)))
 
 
 def split_by_dim(vectors: DataFrame, dim: int, column: str = "vector") -> tuple[DataFrame, DataFrame]:
