@@ -7,6 +7,8 @@ branch of the decoders is exercised; no row is left out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +192,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One derived table as a stream over the events files."""
+    schema = read(spark, sf_dir, "events").schema
+    # A glob reaches the table whether it is one file or a folder of files.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    view = f"events_{uuid.uuid4().hex}"
+    events.createOrReplaceTempView(view)
+    df = spark.sql(f"WITH events AS (SELECT * FROM {view}),\n{ctes(name)}\nSELECT * FROM {name}")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows with timestamp and metadata, plus user_id, value, k, raw and score."""
     df = table(spark, sf_dir, "logs")

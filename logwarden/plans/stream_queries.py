@@ -1 +1,159 @@
-"""Queries."""
+"""Streaming queries, drained over the given tables and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logwarden.operators import remediation
+from logwarden.operators.templates import add_template
+from logwarden.operators.validation import validate_json
+from logwarden.plans import derived
+from logwarden.plans.catalog import query
+from logwarden.plans.ingest_queries import SQL_CHAIN, time_text
+from logwarden.plans.respond_queries import _DECIDED, sample_analyser
+from logwarden.schemas import INCIDENTS, LOGS, RCA
+from logwarden.session import scratch_path
+from logwarden.sources.tables import latest_by_key
+from logwarden.streaming import approvals, files, stages, windows
+
+
+def _ingest(spark, sf_dir):
+    """All JSON lines of the events, validated and written by the ingest stage."""
+    base = scratch_path(spark, "ingest")
+    lines = derived.stream(spark, sf_dir, "json_lines")
+    stages.start_ingest(validate_json(lines, "line"), base, True).awaitTermination()
+    return base
+
+
+@query(
+    "stream_ingest",
+    ("json_lines",),
+    """SELECT 'accepted' AS outcome, count(*) AS n, CAST(sum(stream_id) AS BIGINT) AS ids FROM json_lines
+       WHERE stream_id % 40 NOT BETWEEN 7 AND 12
+       UNION ALL SELECT 'rejected', count(*), CAST(sum(stream_id) AS BIGINT) FROM json_lines
+       WHERE stream_id % 40 BETWEEN 7 AND 12""",
+)
+def stream_ingest(spark, sf_dir):
+    base = _ingest(spark, sf_dir)
+    good = files.read_all(spark, f"{base}/telemetry", LOGS).withColumn("outcome", F.lit("accepted"))
+    bad = files.read_all(spark, f"{base}/rejected", LOGS).withColumn("outcome", F.lit("rejected"))
+    both = good.unionByName(bad)
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("stream_id").alias("ids"))
+
+
+def _upserted(spark, df, keys):
+    """Drain an update-mode aggregate; the last batch wins per key."""
+    base = scratch_path(spark, "updates")
+
+    def handle(batch, batch_id):
+        files.write_once(batch.withColumn("batch", F.lit(batch_id)), f"{base}/out", batch_id)
+
+    writer = df.writeStream.outputMode("update").foreachBatch(handle)
+    writer.option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    keyed = written.withColumn("_key", F.struct(*keys))
+    return latest_by_key(keyed, "_key", "batch").drop("_key", "batch")
+
+
+@query(
+    "stream_log_rate",
+    ("logs",),
+    """SELECT strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%dT%H:%M:%S.%f') AS window_start, service_name,
+              count(*) AS n FROM logs GROUP BY ALL""",
+)
+def stream_log_rate(spark, sf_dir):
+    counts = windows.rate(derived.stream(spark, sf_dir, "logs"), "service_name", "ts")
+    out = _upserted(spark, counts, ["window_start", "service_name"])
+    return out.withColumn("window_start", time_text("window_start"))
+
+
+@query(
+    "stream_dedup",
+    ("logs",),
+    SQL_CHAIN + " SELECT DISTINCT service_name, normalized_message FROM chain",
+)
+def stream_dedup(spark, sf_dir):
+    base = scratch_path(spark, "dedup")
+    templated = add_template(derived.stream(spark, sf_dir, "logs")).select("ts", "service_name", "normalized_message")
+    first = windows.distinct_signatures(templated, "ts")
+    (
+        first.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{base}/out").select("service_name", "normalized_message")
+
+
+@query(
+    "stream_approvals",
+    ("rca", "decisions"),
+    f""", {_DECIDED} SELECT d.decision_id, d.incident_id, d.decision,
+        d.decision_id IN (SELECT decision_id FROM effective) AND p.incident_id IS NOT NULL AS found,
+        CASE WHEN d.decision_id IN (SELECT decision_id FROM effective) THEN p.target_command END AS target_command
+        FROM decisions d LEFT JOIN pending p ON d.incident_id = p.incident_id""",
+)
+def stream_approvals(spark, sf_dir):
+    base = scratch_path(spark, "approvals")
+    held = remediation.plan_actions(derived.stream(spark, sf_dir, "rca"))
+    outcomes = approvals.decision_outcomes(
+        remediation.pending_actions(held), derived.stream(spark, sf_dir, "decisions")
+    )
+    (
+        outcomes.writeStream.format("parquet").option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{base}/out").select("decision_id", "incident_id", "decision", "found", "target_command")
+
+
+@query("stream_detect")
+def stream_detect(spark, sf_dir):
+    """Ingest and detect: the model trains itself once enough vectors are stored."""
+    base = _ingest(spark, sf_dir)
+    telemetry = files.read_stream(spark, f"{base}/telemetry", LOGS)
+    stages.start_detect(
+        telemetry, base, threshold=0.5, detected_at=F.lit(0.0), available_now=True
+    ).awaitTermination()
+    found = files.read_all(spark, f"{base}/incidents", INCIDENTS)
+    return found.select("incident_id", "service_name", "normalized_message", "anomaly_score", "context_window_size")
+
+
+@query(
+    "stream_response",
+    ("incidents",),
+    """, r AS (SELECT incident_id, CASE WHEN message LIKE '%Failed%' THEN 'HIGH' ELSE 'LOW' END AS risk_level
+             FROM incidents WHERE message NOT LIKE '%pool%')
+       SELECT incident_id, CASE risk_level WHEN 'LOW' THEN 'history' ELSE 'pending' END AS stream,
+              CASE risk_level WHEN 'LOW' THEN 'mock-remediation restart_daemon' ELSE 'mock-remediation complex_mitigation' END
+              AS target_command FROM r
+       UNION ALL SELECT incident_id, 'failed', NULL FROM incidents WHERE message LIKE '%pool%'""",
+)
+def stream_response(spark, sf_dir):
+    """Incidents through analysis and remediation, stage by stage."""
+    base = scratch_path(spark, "response")
+    inc = derived.stream(spark, sf_dir, "incidents")
+    shaped = inc.select(
+        "incident_id", F.col("stream_id").cast("string").alias("source_stream_id"), "service_name",
+        time_text("ts").alias("timestamp"), "level", F.col("message").alias("raw_message"),
+        F.lit("").alias("normalized_message"), F.col("score").alias("anomaly_score"),
+        F.lit(0.55).alias("anomaly_threshold"), F.lit(0).alias("context_window_size"),
+        F.expr("from_json('[]', 'array<struct<timestamp:string,level:string,message:string>>')").alias("context_window"),
+    )
+    stages.start_analyse(shaped, base, sample_analyser, F.lit(0.0), True, backoff_s=0.0).awaitTermination()
+    reports = files.read_stream(spark, f"{base}/rca", RCA)
+    stages.start_remediate(reports, base, F.lit(0.0), True).awaitTermination()
+
+    def outcome(name):
+        rows = files.read_all(spark, f"{base}/{name}", "incident_id STRING, target_command STRING")
+        return rows.select("incident_id", F.lit(name.removeprefix("rca_")).alias("stream"), "target_command")
+
+    return outcome("history").unionByName(outcome("pending")).unionByName(outcome("rca_failed"))
+
+
+@query("stream_chain")
+def stream_chain(spark, sf_dir):
+    """All stages in a row, and how many rows each one has written."""
+    base = scratch_path(spark, "chain")
+    lines = derived.stream(spark, sf_dir, "json_lines")
+    stages.drain(
+        spark, validate_json(lines, "line"), base, sample_analyser, threshold=0.5, detected_at=F.lit(0.0)
+    )
+    return stages.stage_lengths(spark, base)
