@@ -27,12 +27,15 @@ def _length_between(col: Column, upper: int) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """ISO-8601 with or without offset (session zone, UTC, when naive); epoch numbers too."""
-    number = F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), text.cast("double"))
-    # Fixed value: numbers above this are milliseconds.
-    seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
-    return F.when(number.isNotNull(), F.timestamp_micros((seconds * 1_000_000).cast("bigint"))).otherwise(
-        F.try_to_timestamp(text)
-    )
+
+    def from_number(n: Column) -> Column:
+        # Fixed value: numbers above this are milliseconds.
+        seconds = F.when(F.abs(n) > 2e10, n / 1000).otherwise(n)
+        micros = F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
+        return F.when(n.isNotNull(), micros).otherwise(F.try_to_timestamp(text))
+
+    # Bound as a lambda variable, the number is parsed once per row.
+    return F.get(F.transform(F.array(text.try_cast("double")), from_number), F.lit(0))
 
 
 def validate(events: DataFrame, now: Column | None = None) -> DataFrame:
@@ -81,43 +84,50 @@ def validate_json(lines: DataFrame, column: str = "value", now: Column | None =
     A string field given as a number, an explicit null, or a metadata value that
     is not a string rejects the row, as does text that is not a JSON object.
     """
+    names = ("service_name", "message", "level", "timestamp")
     doc = lines.withColumn("_doc", F.try_parse_json(column))
 
     def kind(path: str) -> Column:
         return F.expr(f"schema_of_variant(try_variant_get(_doc, '$.{path}', 'variant'))")
 
-    def text(path: str) -> Column:
-        return F.expr(f"try_variant_get(_doc, '$.{path}', 'string')")
-
-    service = F.when(kind("service_name") == "STRING", _clean_service(text("service_name")))
-    message = F.when(kind("message") == "STRING", strip(text("message")))
-    level_given = kind("level").isNotNull()
-    level = F.when(level_given, F.when(kind("level") == "STRING", text("level"))).otherwise(F.lit("INFO"))
-    time_given = kind("timestamp").isNotNull()
-    time_ok = kind("timestamp").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$")
-    parsed = F.when(time_ok, parse_timestamp(text("timestamp")))
-    meta = F.expr("try_variant_get(_doc, '$.metadata', 'map<string,variant>')")
-    meta_given = kind("metadata").isNotNull()
-    meta_ok = F.forall(F.map_values(meta), lambda v: F.schema_of_variant(v) == "STRING")
+    # Each field and its type are taken from the document once.
+    got = doc.withColumns(
+        {f"_k_{n}": kind(n) for n in names}
+        | {f"_t_{n}": F.expr(f"try_variant_get(_doc, '$.{n}', 'string')") for n in names}
+        | {
+            "_values": F.expr("try_variant_get(_doc, '$.metadata', 'map<string,variant>')"),
+            "_given": kind("metadata").isNotNull(),
+        }
+    )
+    texts = {n: F.when(F.col(f"_k_{n}") == "STRING", F.col(f"_t_{n}")) for n in names}
+    time_ok = F.col("_k_timestamp").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$")
+    clean = got.withColumns(
+        {
+            "_service": _clean_service(texts["service_name"]),
+            "_message": strip(texts["message"]),
+            "_level": F.when(F.col("_k_level").isNull(), F.lit("INFO")).otherwise(texts["level"]),
+            "_time": F.when(time_ok, parse_timestamp(F.col("_t_timestamp"))),
+        }
+    )
+    meta_ok = F.forall(F.map_values("_values"), lambda v: F.schema_of_variant(v) == "STRING")
     default_time = F.current_timestamp() if now is None else now
+    no_time = F.col("_k_timestamp").isNull()
     checks = {
-        "service_name": _length_between(service, SERVICE_NAME_MAX),
-        "message": _length_between(message, MESSAGE_MAX),
-        "level": level.isin(*LEVELS),
-        "timestamp": ~time_given | parsed.isNotNull(),
-        "metadata": ~meta_given | meta_ok,
+        "service_name": _length_between(F.col("_service"), SERVICE_NAME_MAX),
+        "message": _length_between(F.col("_message"), MESSAGE_MAX),
+        "level": F.col("_level").isin(*LEVELS),
+        "timestamp": no_time | F.col("_time").isNotNull(),
+        "metadata": ~F.col("_given") | meta_ok,
     }
-    return doc.select(
+    return clean.select(
         *lines.columns,
-        service.alias("service_name"),
-        F.when(time_given, parsed).otherwise(default_time).alias("timestamp"),
-        level.alias("level"),
-        message.alias("message"),
+        F.col("_service").alias("service_name"),
+        F.when(no_time, default_time).otherwise(F.col("_time")).alias("timestamp"),
+        F.col("_level").alias("level"),
+        F.col("_message").alias("message"),
         F.coalesce(
-            F.expr("try_variant_get(_doc, '$.metadata', 'map<string,string>')"),
+            F.transform_values("_values", lambda k, v: v.cast("string")),
             F.create_map().cast("map<string,string>"),
         ).alias("metadata"),
-        F.when(F.col("_doc").isNull(), F.array(F.lit("json")))
-        .otherwise(_errors(checks))
-        .alias("errors"),
+        F.when(F.col("_doc").isNull(), F.array(F.lit("json"))).otherwise(_errors(checks)).alias("errors"),
     )
