@@ -130,6 +130,7 @@ MASKS = (
         "hex_id",
         "<HEX_ID>",
         rf"(?iU)(?<![_A-Za-z])(?:0x){HEX}{{1,15}}\b|(?<![_A-Za-z])\b{HEX}{{8,15}}\b",
+        lambda t, digit: t.rlike(rf"(?iU)0x|{HEX}{{8}}"),
     ),
     Mask(
         "epoch",
@@ -147,7 +148,7 @@ MASKS = (
         "numeric_id",
         "<NUM_ID>",
         rf"(?iU)(?:(?:{NUMERIC_KEYS})[=:\s\x1c-\x1f]+\d+|\b\d{{6,}}\b)",
-        lambda t, digit: digit,
+        lambda t, digit: digit & t.rlike(r"(?U)[=:\s\x1c-\x1f]\d|\d{6}"),
     ),
 )
 MASK_BY_NAME = {mask.name: mask for mask in MASKS}

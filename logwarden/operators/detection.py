@@ -37,19 +37,23 @@ def gate_state(
 
 
 def train_baseline(
-    templated: DataFrame,
+    logs: DataFrame,
     encoder=None,
     batch_size: int = MICRO_BATCH,
     threshold: int = TRAIN_THRESHOLD,
     order: str = "stream_id",
     **options,
 ):
-    """(model, first scored id) from the rows stored when the gate opens, or (None, None)."""
+    """(model, first scored id) from the rows stored when the gate opens, or (None, None).
+
+    The ids that open the gate are found on the id column alone; the training
+    rows are then read by a filter the scan can use.
+    """
     trained, cold = gate_rows(batch_size, threshold)
-    first = templated.select(order, "normalized_message").orderBy(order).limit(trained)
-    ids = [row[0] for row in first.select(order).orderBy(order).collect()]
+    ids = [row[0] for row in logs.select(order).orderBy(order).limit(trained).collect()]
     if len(ids) < threshold:
         return None, None
+    first = add_template(logs.filter(F.col(order) <= F.lit(ids[-1])))
     return forest.fit(vectors.encode(first, encoder=encoder), order, **options), ids[cold]
 
 
@@ -131,7 +135,7 @@ def detect(
     templated = add_template(logs)
     first_id = None
     if model is None:
-        model, first_id = train_baseline(templated, encoder, batch_size, train_threshold)
+        model, first_id = train_baseline(logs, encoder, batch_size, train_threshold)
     if model is None:
         scored = templated.withColumn("anomaly_score", F.lit(0.0))
     else:

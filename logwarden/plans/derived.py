@@ -184,23 +184,25 @@ def ctes(*names: str) -> str:
     return ",\n".join(f"{n} AS ({TABLES[n]})" for n in _closure(names))
 
 
+def _from_view(spark: SparkSession, rows: DataFrame, source: str, name: str) -> DataFrame:
+    view = f"{source}_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    df = spark.sql(f"WITH {source} AS (SELECT * FROM {view}),\n{ctes(name)}\nSELECT * FROM {name}")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as a DataFrame; event time becomes ``timestamp``."""
     source = "conversations" if name == "frames" else "events"
-    path = f"parquet.`{sf_dir}/{source}.parquet`"
-    df = spark.sql(f"WITH {source} AS (SELECT * FROM {path}),\n{ctes(name)}\nSELECT * FROM {name}")
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+    return _from_view(spark, read(spark, sf_dir, source), source, name)
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as a stream over the events files."""
-    schema = read(spark, sf_dir, "events").schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A glob reaches the table whether it is one file or a folder of files.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    view = f"events_{uuid.uuid4().hex}"
-    events.createOrReplaceTempView(view)
-    df = spark.sql(f"WITH events AS (SELECT * FROM {view}),\n{ctes(name)}\nSELECT * FROM {name}")
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+    return _from_view(spark, events, "events", name)
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,4 +214,10 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table. A table of fewer scan tasks than cores is spread over them.
+
+    Large tables have more tasks than that and are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -400,7 +400,9 @@ def normalize_full(spark, sf_dir):
 )
 def token_counts(spark, sf_dir):
     out = templates.normalize(derived.logs(spark, sf_dir))
-    return out.select("stream_id", F.explode("token_counts").alias("placeholder", "n"))
+    # The outer form adds no filter on the map, which would run the chain twice.
+    cells = out.select("stream_id", F.explode_outer("token_counts").alias("placeholder", "n"))
+    return cells.filter(F.col("n") > 0)
 
 
 @query(
