@@ -26,8 +26,14 @@ def rate(
     )
 
 
-def distinct_signatures(events: DataFrame, time: str = "timestamp", delay: str = DELAY) -> DataFrame:
-    """First event of each (service, template) within the delay."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(
-        ["service_name", "normalized_message"]
-    )
+def distinct_signatures(
+    events: DataFrame, time: str = "timestamp", delay: str = DELAY, salts: int = 16
+) -> DataFrame:
+    """First event of each (service, template) within the delay.
+
+    A signature may fill a micro-batch, so its rows are first reduced per salt,
+    spread over the tasks, and the survivors per signature.
+    """
+    keys = ["service_name", "normalized_message"]
+    salted = events.withWatermark(time, delay).withColumn("_salt", F.pmod(F.xxhash64(time), F.lit(salts)))
+    return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(keys)
