@@ -47,6 +47,7 @@ VECTORS = (
     "stream_id BIGINT, service_name STRING, log_level STRING, timestamp TIMESTAMP, "
     "raw_message STRING, normalized_msg STRING, vector ARRAY<FLOAT>"
 )
+STORED = VECTORS + ", metadata MAP<STRING, STRING>"
 
 
 def _start(
@@ -111,15 +112,22 @@ def start_detect(
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch_done(spark, f"{base}/incidents", batch_id):
             return
-        rows = add_template(batch.select(*columns))
-        encoded = vectors.encode(rows, encoder=encoder).select(
+        own = batch.select(*columns)
+        encoded = vectors.encode(add_template(own), encoder=encoder).select(
             "stream_id", "service_name", F.col("level").alias("log_level"), "timestamp",
             F.col("message").alias("raw_message"), F.col("normalized_message").alias("normalized_msg"), "vector",
+            "metadata",
         )
         write_once(encoded, f"{base}/vectors", batch_id)
+        # Everything below reads what was written, so no row is masked twice.
+        kept = spark.read.schema(STORED).parquet(f"{base}/vectors/batch_id={batch_id}")
+        rows = kept.select(
+            "stream_id", "service_name", "timestamp", F.col("log_level").alias("level"),
+            F.col("raw_message").alias("message"), "metadata", F.col("normalized_msg").alias("normalized_message"),
+        )
         model = trained(batch_id)
 
-        own = batch.select(*columns)
+        own = rows.select(*columns)
         ring = _ring_before(spark, f"{base}/ring", batch_id, own.schema)
         last = context.ring_buffer(own, CONTEXT_RING)
         if batch_id % RING_COMPACTION == 0:
@@ -129,7 +137,6 @@ def start_detect(
         if model is None:
             scored = rows.withColumn("anomaly_score", F.lit(0.0))
         else:
-            kept = spark.read.schema(VECTORS).parquet(f"{base}/vectors/batch_id={batch_id}")
             known = kept.groupBy(F.col("normalized_msg").alias("normalized_message")).agg(
                 F.any_value("vector").alias("vector")
             )
