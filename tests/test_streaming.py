@@ -124,3 +124,24 @@ def test_approval_state_spans_batches(spark):
     assert found == {1: False, 2: True, 3: False, 4: False, 5: True}
     history = {r["incident_id"]: r["status"] for r in approvals.history_of(out).collect()}
     assert history == {"a": "SUCCESS", "b": "ABORTED"}
+
+
+def test_dedup_spans_batches(spark):
+    from logwarden.streaming import windows
+
+    folder, base = scratch_path(spark, "signatures"), scratch_path(spark, "out")
+    schema = "timestamp timestamp, service_name string, normalized_message string"
+    for i in range(3):
+        rows = spark.range(40).select(
+            F.timestamp_seconds(F.lit(1_700_000_000 + i) + F.col("id") / 100).alias("timestamp"),
+            F.lit("hot").alias("service_name"),
+            F.concat(F.lit("t"), F.when(F.col("id") < 30, 0).otherwise(F.col("id") % 3 + i)).alias("normalized_message"),
+        )
+        rows.coalesce(1).write.parquet(f"{folder}/b{i}")
+    first = windows.distinct_signatures(files.read_stream(spark, folder, schema, 1))
+    (
+        first.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    got = sorted(r["normalized_message"] for r in spark.read.schema(schema).parquet(f"{base}/out").collect())
+    assert got == ["t0", "t1", "t2", "t3", "t4"]
