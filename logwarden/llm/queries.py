@@ -61,3 +61,35 @@ def op9_mixing(spark, sf_dir):
 
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.withColumnRenamed("id", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op6_simhash")
+def op6_simhash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from logwarden.llm import simhash_dedup
+
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select(F.col("id").alias("doc_id"), shown.alias("fingerprint"), "component_id")
+
+
+@query(
+    "op10_chat",
+    """
+    WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations),
+    whole AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS said FROM turns GROUP BY conv_id),
+    cuts AS (SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, len(said))) AS k FROM whole)),
+    kept AS (SELECT said, min(conv_id) AS conv_id, count(*) AS copies FROM whole
+             WHERE said NOT IN (SELECT said FROM cuts) GROUP BY said)
+    SELECT conv_id, 0 AS part, len(said) AS turns, copies,
+           list_aggregate(list_transform(said, lambda s: '<|im_start|>' || s.r || chr(10) || s.t || '<|im_end|>' || chr(10)),
+                          'string_agg', '') AS text
+    FROM kept
+    """,
+)
+def op10_chat(spark, sf_dir):
+    from logwarden.llm import chat
+
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
