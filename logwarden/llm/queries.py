@@ -93,3 +93,30 @@ def op10_chat(spark, sf_dir):
     from logwarden.llm import chat
 
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from logwarden.llm import toxicity
+    from logwarden.llm.langid import remainder
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    out = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from logwarden.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2))
+    out = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
+    held_out = F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
