@@ -16,7 +16,7 @@ BUCKETS, SIZES = 1 << 19, (3, 4, 5)
 #: Rows of each class that the linear weights are fitted on at most; counts use all rows.
 SAMPLE_ROWS = 1500
 #: Added to each count, and the standard errors by which a ratio must differ from even odds.
-SMOOTH, DOUBT = 1.0, 4.0
+SMOOTH, DOUBT = 1.0, 3.0
 #: Logistic regression: steps, their size, the weight that all features start with and the pull back to it.
 STEPS, RATE, START, RIDGE = 80, 0.02, 0.3, 1e-3
 #: Bytes of one text whose n-grams are hashed at once.
@@ -148,9 +148,7 @@ def _regress(table: pa.Table, scale: np.ndarray, size: np.ndarray) -> Model:
     row = np.repeat(np.arange(len(found)), np.diff(starts))
     weight, bias = np.full(len(used), START), 0.0
     mean_w, var_w, mean_b, var_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    # The sample counts as its classes do among all rows.
-    share = size[1] / size.sum()
-    balance = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
+    balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for step in range(1, STEPS + 1):
         z = np.bincount(row, x * weight[cells], len(found)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * balance
