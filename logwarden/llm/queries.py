@@ -120,3 +120,25 @@ def op3_language_id(spark, sf_dir):
     out = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
     held_out = F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op1_topk",
+    """
+    WITH ints AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                  FROM embeddings
+                  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+)
+def op1_topk(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from logwarden.llm import topk
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.integer_vector(F.col("embedding")).alias("vector"))
+    return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5)
