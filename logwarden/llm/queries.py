@@ -142,3 +142,10 @@ def op1_topk(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.integer_vector(F.col("embedding")).alias("vector"))
     return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    from logwarden.llm import substring_dedup
+
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
