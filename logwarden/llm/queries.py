@@ -149,3 +149,10 @@ def op4_substring_dedup(spark, sf_dir):
     from logwarden.llm import substring_dedup
 
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    from logwarden.llm import line_dedup
+
+    return line_dedup.remove_recurring_lines(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
