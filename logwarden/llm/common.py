@@ -52,3 +52,23 @@ def private(name: str) -> str:
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are few enough, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def without(docs: DataFrame, id_col: str, key: Column, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without those of ``gone``, and one each of those that ``again`` names.
+
+    Both have ``id`` and ``key``; a row of ``docs`` has the key that the expression gives.
+    Few of them are sent to the rows, more are joined by a shuffle.
+    """
+    i, k = private("id"), private("key")
+    left = docs.withColumn(k, key)
+
+    def same(names: DataFrame):
+        names = small(names.select(F.col("id").alias(i), F.col("key").alias(f"{k}_")).distinct(), 80)
+        return names, left[id_col].eqNullSafe(names[i]) & (left[k] == names[f"{k}_"])
+
+    left = left.join(*same(gone), "left_anti")
+    if not again.isEmpty():
+        names, on = same(again)
+        left = left.join(names, on, "left_anti").unionByName(left.join(names, on, "left_semi").dropDuplicates([id_col, k]))
+    return left.select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import fold_ascii, private, small, written
+from logwarden.llm.common import fold_ascii, small, without, written
 
 
 def content_hash(text: Column) -> Column:
@@ -68,16 +68,6 @@ def drop_duplicates(
     marks = written(
         mark_duplicates(docs, id_col, text_col, keep, normalise).select("id", "h", "kept", "group_size"), "exact-marks"
     )
-    i, h = private("id"), private("h")
-    keyed = docs.withColumn(h, content_hash(normalise(F.col(text_col))))
-    gone = small(marks.where(~F.col("kept")).select(F.col("id").alias(i), F.col("h").alias(h)).distinct(), 80)
-    same = (F.col(id_col).eqNullSafe(gone[i])) & (keyed[h] == gone[h])
-    left = keyed.join(gone, same, "left_anti")
-    again = marks.where("kept AND group_size > 1").groupBy("id", "h").count().where("count > 1")
-    if not again.isEmpty():
-        again = small(again.select(F.col("id").alias(i), F.col("h").alias(f"{h}x")), 80)
-        same = (F.col(id_col).eqNullSafe(again[i])) & (left[h] == again[f"{h}x"])
-        left = left.join(again, same, "left_anti").unionByName(
-            left.join(again, same, "left_semi").dropDuplicates([id_col, h])
-        )
-    return left.select(*[f"`{c}`" for c in docs.columns])
+    marks = marks.withColumnRenamed("h", "key")
+    again = marks.where("kept AND group_size > 1").groupBy("id", "key").count().where("count > 1")
+    return without(docs, id_col, content_hash(normalise(F.col(text_col))), marks.where("NOT kept"), again)

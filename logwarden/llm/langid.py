@@ -277,6 +277,25 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.toDF("id", "spans")
 
 
+def labelled(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text has a language with at least ``min_score``.
+
+    Rejected are texts without a letter, and texts of which no learned language labels
+    that share of the words: mixtures without a main language and unknown scripts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            for start, texts in _runs(batch.column(at)):
+                found = [_main(shared.value, *x) for x in label(shared.value, texts)]
+                keep = pa.array([lang != "und" and score >= min_score for lang, score in found], type=pa.bool_())
+                yield batch.slice(start, len(texts)).filter(keep)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; null ids have none."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
