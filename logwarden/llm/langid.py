@@ -112,7 +112,8 @@ class Model:
         tri, script = sums[:, :BUCKETS], sums[:, BUCKETS:]
         chance = (tri + 0.5) / (tri.sum(1, keepdims=True) + 0.5 * BUCKETS)
         score = np.log(chance)
-        self.score = (score - score.mean(0)).T.astype(np.float32).copy()
+        mean = score.mean(0) if langs else 0.0
+        self.score = (score - mean).T.astype(np.float32).copy()
         self.allowed = (script >= SCRIPT_SHARE * np.maximum(script.sum(1, keepdims=True), 1)).T & (script.T > 0)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
