@@ -36,6 +36,18 @@ def gate_state(
     )
 
 
+def baseline_ids(
+    stored: DataFrame, batch_size: int = MICRO_BATCH, threshold: int = TRAIN_THRESHOLD, order: str = "stream_id"
+) -> tuple | None:
+    """(last id that trains, first id that is scored) once enough rows are stored, else None.
+
+    Both follow from the smallest ids alone, so they don't depend on how rows came in.
+    """
+    trained, cold = gate_rows(batch_size, threshold)
+    ids = [row[0] for row in stored.select(order).orderBy(order).limit(trained).collect()]
+    return (ids[-1], ids[cold]) if len(ids) >= threshold else None
+
+
 def train_baseline(
     logs: DataFrame,
     encoder=None,
@@ -49,12 +61,11 @@ def train_baseline(
     The ids that open the gate are found on the id column alone; the training
     rows are then read by a filter the scan can use.
     """
-    trained, cold = gate_rows(batch_size, threshold)
-    ids = [row[0] for row in logs.select(order).orderBy(order).limit(trained).collect()]
-    if len(ids) < threshold:
+    ids = baseline_ids(logs, batch_size, threshold, order)
+    if ids is None:
         return None, None
-    first = add_template(logs.filter(F.col(order) <= F.lit(ids[-1])))
-    return forest.fit(vectors.encode(first, encoder=encoder), order, **options), ids[cold]
+    first = add_template(logs.filter(F.col(order) <= F.lit(ids[0])))
+    return forest.fit(vectors.encode(first, encoder=encoder), order, **options), ids[1]
 
 
 def score_templates(templated: DataFrame, model, encoder=None) -> DataFrame:

@@ -31,10 +31,13 @@ def _json_map(name: str) -> Column:
 
 def iso_text(ts: Column) -> Column:
     """ISO-8601 in UTC; microseconds appear only when they are not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(ts, "SSSSSS")
+    micros = F.unix_micros(ts.cast("timestamp"))
+    # Wall clock without a zone, counted from the epoch: the session's zone plays no part.
+    since = F.make_dt_interval(secs=(micros / 1_000_000).cast("decimal(18,6)"))
+    clock = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since).cast("string")
+    fraction = F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")
     return F.concat(
-        whole,
+        F.replace(F.substring(clock, 1, 19), F.lit(" "), F.lit("T")),
         F.when(fraction == "000000", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
         F.lit("+00:00"),
     )

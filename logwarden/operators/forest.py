@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +25,6 @@ AUTO_OFFSET = -0.5
 NODE_SCHEMA = (
     "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE"
 )
-# Rows that may reach the tree builders before each takes its own subsample.
-POOL_ROWS = 4 * TREES * SUBSAMPLE
 _HASH_SPAN = 1 << 62
 
 
@@ -50,6 +49,8 @@ class ForestModel:
     seed: int = SEED
     contamination: str = "auto"
     offset: float = AUTO_OFFSET
+    #: Smallest id that is scored; those before it only train.
+    first_id: int | None = None
     _arrays: tuple | None = field(default=None, repr=False)
 
     def arrays(self) -> tuple:
@@ -82,20 +83,16 @@ def _hash_unit(*parts: Column) -> Column:
 def _subsamples(vectors: DataFrame, key: str, rows: int, trees: int, subsample: int, seed: int) -> DataFrame:
     """(tree, draw, vector): a uniform subsample without replacement for each tree.
 
-    Every choice is a hash of the row's key, so it does not depend on how the
-    table is partitioned. Rows outside a hash cut-off never leave their task.
+    Every choice is a hash of the row's key and the tree, at any size of the table, so
+    each row can be drawn for each tree and partitioning does not matter. A cut-off on
+    the hash lets about twice the subsample of a tree leave the tasks.
     """
-    pool = vectors
-    pool_rows = rows
-    if rows > 2 * POOL_ROWS:
-        pool = vectors.filter(_hash_unit(F.col(key), F.lit(seed)) < POOL_ROWS / rows)
-        pool_rows = POOL_ROWS
-    cut = min(1.0, 2.0 * subsample / pool_rows)
+    cut = min(1.0, 2.0 * subsample / rows)
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: _hash_unit(F.col(key), t, F.lit(seed + 1)) < cut,
     )
-    drawn = pool.select(key, "vector", F.explode(chosen).alias("tree")).withColumn(
+    drawn = vectors.select(key, "vector", F.explode(chosen).alias("tree")).withColumn(
         "draw", F.xxhash64(key, "tree", F.lit(seed + 1))
     )
     nth = W.partitionBy("tree").orderBy("draw", key)
@@ -230,7 +227,7 @@ def diagnostics(spark: SparkSession, model: ForestModel | None) -> DataFrame:
 
 META_SCHEMA = (
     "version BIGINT, dim INT, rows BIGINT, subsample INT, trees INT, seed INT, "
-    "contamination STRING, offset DOUBLE"
+    "contamination STRING, offset DOUBLE, first_id BIGINT"
 )
 
 
@@ -244,7 +241,7 @@ def save(spark: SparkSession, model: ForestModel, path: str, version: int) -> No
     )
     meta = (
         version, model.dim, model.rows, model.subsample, model.trees, model.seed,
-        model.contamination, model.offset,
+        model.contamination, model.offset, model.first_id,
     )
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
         f"{path}/meta/version_{version}"
@@ -261,8 +258,8 @@ def load(spark: SparkSession, path: str) -> ForestModel | None:
             .orderBy(F.desc("version"))
             .first()
         )
-    except Exception as error:  # no model has been written yet
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:  # no model has been written yet
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     if meta is None:
@@ -270,5 +267,5 @@ def load(spark: SparkSession, path: str) -> ForestModel | None:
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes/version={meta['version']}").toPandas()
     return ForestModel(
         nodes, meta["dim"], meta["rows"], meta["subsample"], meta["trees"], meta["seed"],
-        meta["contamination"], meta["offset"],
+        meta["contamination"], meta["offset"], meta["first_id"],
     )

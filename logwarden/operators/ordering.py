@@ -9,13 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 20_000
 
 
 def stream_position(stream_id: Column) -> Column:
@@ -27,12 +25,12 @@ def stream_position(stream_id: Column) -> Column:
 
 
 def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket)))
+    return max(1, math.ceil(rows / rows_per_bucket))
 
 
 def order_splits(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
-    """Inner bucket boundaries (at most ``MAX_BUCKETS`` numbers reach the driver)."""
-    values = df.select(F.col(order).cast("double").alias("v"))
+    """Inner bucket boundaries, one number per ``ROWS_PER_BUCKET`` rows. NULL and NaN set none."""
+    values = df.select(F.col(order).cast("double").alias("v")).filter(~F.isnan("v"))
     if buckets is None:
         buckets = bucket_count(values.count())
     if buckets <= 1:
@@ -43,13 +41,21 @@ def order_splits(df: DataFrame, order: str, buckets: int | None = None) -> list[
 
 
 def with_bucket(df: DataFrame, order: str, splits: list[float], name: str = "_bucket") -> DataFrame:
-    """Add the bucket number; it grows with the order column."""
+    """Add the bucket number; it grows with the order column.
+
+    NULL comes before every number and NaN behind, as in Spark's own order. The bucket
+    is found by halving steps over the boundaries.
+    """
     if not splits:
         return df.withColumn(name, F.lit(0))
-    keyed = df.withColumn("_order_key", F.col(order).cast("double"))
-    edges = [-math.inf, *splits, math.inf]
-    placed = Bucketizer(splits=edges, inputCol="_order_key", outputCol=name).transform(keyed)
-    return placed.withColumn(name, F.col(name).cast("int")).drop("_order_key")
+    edges = F.array(*[F.lit(float(x)) for x in splits])
+    steps = [1 << b for b in reversed(range(len(splits).bit_length()))]
+
+    def step_on(at: Column, step: Column) -> Column:
+        fits = (at + step <= len(splits)) & (F.get(edges, at + step - 1) <= F.col(order).cast("double"))
+        return F.when(fits, at + step).otherwise(at)
+
+    return df.withColumn(name, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step_on))
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_index", buckets: int | None = None) -> DataFrame:

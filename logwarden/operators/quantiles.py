@@ -47,17 +47,20 @@ def _bucket_quantile(cells: Column, total: Column, q: float, bounds) -> Column:
 def histogram_quantiles(
     df: DataFrame, column: str, keys: tuple = (), bounds=RCA_BUCKETS, quantiles=QUANTILES
 ) -> DataFrame:
-    """Quantiles estimated from the histogram, one column each; NULL without values."""
+    """Quantiles estimated from the histogram, one column each; NULL without values.
+
+    Keys are column names or (name, Column) pairs.
+    """
     value = F.col(column)
-    wide = df.groupBy(*keys).agg(
+    named = {k if isinstance(k, str) else k[0]: F.col(k) if isinstance(k, str) else k[1] for k in keys}
+    wide = df.groupBy(*[c.alias(n) for n, c in named.items()]).agg(
         F.array(*_bucket_counts(value, bounds)).alias("_cells"), F.count(value).alias("total")
     )
-    names = [k if isinstance(k, str) else F.col(k._jc.toString()) for k in keys]
     columns = [
         _bucket_quantile(F.col("_cells"), F.col("total"), q, bounds).alias(name)
         for name, q in quantiles.items()
     ]
-    return wide.select(*names, "total", *columns)
+    return wide.select(*named, "total", *columns)
 
 
 def exact_percentiles(
@@ -65,6 +68,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, 0.0 for an empty table.
 
+    NULL is no value; NaN ranks above every number.
+
     Equal values are counted first, so a value of any frequency is one row. The
     distinct values are ranked per order bucket, and bucket totals give each
     bucket its offset; no task holds more than one bucket.

@@ -6,9 +6,10 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logwarden.schemas import RISKS
 
@@ -22,8 +23,8 @@ NO_HISTORY = "No preceding log history."
 Analyser = Callable[[str, str, str], str]
 
 
-def context_text(window: Column) -> Column:
-    """One ``[time] LEVEL - message`` line per frame."""
+def context_text(window: Column, raw: bool = False) -> Column:
+    """One ``[time] LEVEL - message`` line per frame; with ``raw``, frames without a message show ``raw_message``."""
     lines = F.transform(
         window,
         lambda f: F.concat(
@@ -32,7 +33,7 @@ def context_text(window: Column) -> Column:
             F.lit("] "),
             F.coalesce(f["level"], F.lit("UNKNOWN")),
             F.lit(" - "),
-            F.coalesce(f["message"], F.lit("")),
+            F.coalesce(f["message"], *([f["raw_message"]] if raw else []), F.lit("")),
         ),
     )
     return F.when(F.size(F.coalesce(window, F.array())) > 0, F.array_join(lines, "\n")).otherwise(
@@ -40,14 +41,14 @@ def context_text(window: Column) -> Column:
     )
 
 
-def prompt_text(service: Column, message: Column, window: Column) -> Column:
+def prompt_text(service: Column, message: Column, window: Column, raw: bool = False) -> Column:
     return F.concat(
         F.lit("Find the root cause of an anomaly in a microservice.\nService: "),
         F.coalesce(service, F.lit("unknown")),
         F.lit("\nAnomalous message: "),
         F.coalesce(message, F.lit("")),
         F.lit("\nLog lines before it:\n"),
-        context_text(window),
+        context_text(window, raw),
         F.lit(
             "\nAnswer with one JSON object holding the strings root_cause, suggested_fix, "
             "impact_analysis and risk_level (LOW, MEDIUM, HIGH or CRITICAL), and nothing else."
@@ -56,8 +57,9 @@ def prompt_text(service: Column, message: Column, window: Column) -> Column:
 
 
 def with_prompt(incidents: DataFrame) -> DataFrame:
+    raw = "raw_message" in incidents.schema["context_window"].dataType.elementType.names
     return incidents.withColumn(
-        "prompt", prompt_text(F.col("service_name"), F.col("raw_message"), F.col("context_window"))
+        "prompt", prompt_text(F.col("service_name"), F.col("raw_message"), F.col("context_window"), raw)
     )
 
 
@@ -82,36 +84,54 @@ def validate_report(df: DataFrame, column: str = "report") -> DataFrame:
     ).drop("_doc")
 
 
-def _problem(text: str) -> str | None:
+def _no_repeats(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("repeated key")
+    return out
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _read(text) -> tuple[str | None, tuple]:
+    """(problem, report fields) of an answer, by the rules of ``validate_report``.
+
+    JSON is taken strictly: a repeated key, NaN or Infinity make it invalid.
+    """
+    nothing = (None,) * len(REPORT_FIELDS)
     try:
-        report = json.loads(text.strip())
-    except ValueError:
-        return "json"
+        report = json.loads(text.strip(), object_pairs_hook=_no_repeats, parse_constant=_no_constant)
+    except (ValueError, AttributeError, RecursionError):
+        return "json", nothing
     if not isinstance(report, dict):
-        return "json"
+        return "json", nothing
     for name in REPORT_FIELDS:
         if not isinstance(report.get(name), str):
-            return name
-    return None if report["risk_level"] in RISKS else "risk_level"
+            return name, nothing
+    if report["risk_level"] not in RISKS:
+        return "risk_level", nothing
+    return None, tuple(report[name] for name in REPORT_FIELDS)
 
 
 def _ask(analyse: Analyser, request: tuple, attempts: int, backoff: float) -> tuple:
-    """(report, attempts used, error, seconds); invalid reports are retried as well."""
+    """(report, report fields, attempts used, error, seconds); invalid reports are retried as well."""
     started = time.monotonic()
     error = None
     for attempt in range(1, attempts + 1):
         try:
             report = analyse(*request)
-            error = _problem(report)
+            error, fields = _read(report)
             if error is None:
-                return report, attempt, None, time.monotonic() - started
+                return report, *fields, attempt, None, time.monotonic() - started
             error = f"invalid report: {error}"
         except Exception as failure:  # any analyser failure is retried, the last is kept
             error = f"{type(failure).__name__}: {failure}"
         if attempt < attempts:
             time.sleep(backoff)
             backoff *= 2.0
-    return None, attempts, error, time.monotonic() - started
+    return None, *(None,) * len(REPORT_FIELDS), attempts, error, time.monotonic() - started
 
 
 def enrich(
@@ -121,51 +141,51 @@ def enrich(
     backoff_s: float = FIRST_BACKOFF_S,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Call the analyser for each incident; adds report, attempts, status, error, seconds.
+    """Call the analyser for each incident; adds the report, its fields, attempts, status, error, seconds.
 
-    ``make_analyser`` runs once per task. ``tasks`` spreads slow calls evenly.
+    ``make_analyser`` runs once per task. ``tasks`` spreads slow calls evenly. The answer
+    is judged once, here: ``status`` is ``success`` for a valid report and ``error`` for
+    anything else. Incident columns pass through as Arrow data, unchanged.
     """
     prompted = with_prompt(incidents)
     if tasks:
         prompted = prompted.repartition(tasks, "incident_id")
-    fields = [f for f in prompted.schema.fields if f.name == "incident_id"]
-    schema = (
-        f"incident_id {fields[0].dataType.simpleString()}, report STRING, attempts INT, "
-        "status STRING, error STRING, seconds DOUBLE"
+    own = [f for f in incidents.schema.fields if f.name != "incident_id"]
+    packed = prompted.select(
+        "incident_id", "service_name", "raw_message", "prompt", F.struct(*[f"`{f.name}`" for f in own]).alias("_payload")
+    )
+    added = (
+        [(n, pa.string(), T.StringType()) for n in ("report", *REPORT_FIELDS)]
+        + [("attempts", pa.int32(), T.IntegerType()), ("error", pa.string(), T.StringType()), ("seconds", pa.float64(), T.DoubleType())]
+    )
+    schema = T.StructType(
+        [packed.schema["incident_id"], packed.schema["_payload"]]
+        + [T.StructField(n, kind) for n, _, kind in added]
     )
-    payload = F.struct(*[c for c in incidents.columns if c != "incident_id"])
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analyse = make_analyser()
         for batch in batches:
-            answers = [
-                _ask(analyse, (row.service_name, row.raw_message, row.prompt), max_attempts, backoff_s)
-                for row in batch.itertuples(index=False)
-            ]
-            out = pd.DataFrame(answers, columns=["report", "attempts", "error", "seconds"])
-            out["status"] = out["error"].isna().map({True: "success", False: "error"})
-            out["incident_id"] = batch["incident_id"].to_numpy()
-            out["_payload"] = batch["_payload"].to_numpy()
-            yield out[["incident_id", "report", "attempts", "status", "error", "seconds", "_payload"]]
-
-    # Nested incident fields pass through Python as one JSON text.
-    packed = prompted.select(
-        "incident_id", "service_name", "raw_message", "prompt", F.to_json(payload).alias("_payload")
-    )
-    answered = packed.mapInPandas(call, schema + ", _payload STRING")
-    rest = [f for f in incidents.schema.fields if f.name != "incident_id"]
-    restored = F.from_json("_payload", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
-    return answered.withColumn("_row", restored).select(
-        "incident_id", *[F.col("_row")[f.name].alias(f.name) for f in rest],
-        "report", "attempts", "status", "error", "seconds",
+            asked = zip(*(batch.column(n).to_pylist() for n in ("service_name", "raw_message", "prompt")))
+            answers = [_ask(analyse, request, max_attempts, backoff_s) for request in asked]
+            columns = [pa.array([a[k] for a in answers], type=kind) for k, (_, kind, _) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("incident_id"), batch.column("_payload"), *columns],
+                names=["incident_id", "_payload", *[n for n, _, _ in added]],
+            )
+
+    answered = packed.mapInArrow(call, schema)
+    status = F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("error"))
+    return answered.select(
+        "incident_id", *[F.col("_payload")[f.name].alias(f.name) for f in own],
+        "report", *REPORT_FIELDS, "attempts", status.alias("status"), "error", "seconds",
     )
 
 
 def insights(enriched: DataFrame, analyzed_at: Column | None = None) -> DataFrame:
     """RCA rows of the incidents that were answered; latency to three decimals."""
     when = F.unix_micros(F.current_timestamp()) / 1e6 if analyzed_at is None else analyzed_at
-    checked = validate_report(enriched).filter((F.col("status") == "success") & F.col("report_error").isNull())
-    return checked.select(
+    return enriched.filter(F.col("status") == "success").select(
         F.concat(F.lit("rca-"), F.col("incident_id").cast("string")).alias("rca_id"),
         "incident_id", "service_name", "timestamp", "level", "raw_message", "normalized_message",
         "anomaly_score", "root_cause", "suggested_fix", "risk_level", "impact_analysis",
@@ -175,5 +195,5 @@ def insights(enriched: DataFrame, analyzed_at: Column | None = None) -> DataFram
 
 
 def failures(enriched: DataFrame) -> DataFrame:
-    """Incidents that got no report, kept for another try."""
-    return enriched.filter(F.col("status") == "error").drop("report")
+    """The other incidents: those without a valid report, kept for another try."""
+    return enriched.filter(~F.col("status").eqNullSafe("success")).drop("report", *REPORT_FIELDS)

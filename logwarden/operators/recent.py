@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +15,29 @@ RCA_VIEW = 50
 CONSOLE_LINES = 100
 
 
-def _newest(df: DataFrame, order: str, count: int | None, limits: tuple[int, int]) -> DataFrame:
+Decode = Callable[[DataFrame], DataFrame]
+
+
+def _newest(entries: DataFrame, order: str, count: int | None, limits: tuple[int, int], decode: Decode | None) -> DataFrame:
+    """The newest raw entries, decoded only then: older ones are not parsed."""
     default, most = limits
     count = default if count is None else count
     if not 1 <= count <= most:
         raise ValueError(f"count must be between 1 and {most}")
-    return df.orderBy(F.desc(order)).limit(count)
+    newest = entries.orderBy(F.desc(order)).limit(count)
+    return newest if decode is None else decode(newest)
 
 
-def recent_incidents(df: DataFrame, count: int | None = None, order: str = "incident_id") -> DataFrame:
-    return _newest(df, order, count, INCIDENT_LIMITS)
+def recent_incidents(entries: DataFrame, count: int | None = None, order: str = "stream_id", decode: Decode | None = None) -> DataFrame:
+    return _newest(entries, order, count, INCIDENT_LIMITS, decode)
 
 
-def recent_rca(df: DataFrame, count: int | None = None, order: str = "rca_id") -> DataFrame:
-    return _newest(df, order, count, RCA_LIMITS)
+def recent_rca(entries: DataFrame, count: int | None = None, order: str = "stream_id", decode: Decode | None = None) -> DataFrame:
+    return _newest(entries, order, count, RCA_LIMITS, decode)
 
 
-def recent_history(df: DataFrame, count: int | None = None, order: str = "execution_id") -> DataFrame:
-    return _newest(df, order, count, HISTORY_LIMITS)
+def recent_history(entries: DataFrame, count: int | None = None, order: str = "stream_id", decode: Decode | None = None) -> DataFrame:
+    return _newest(entries, order, count, HISTORY_LIMITS, decode)
 
 
 def latest_rca(df: DataFrame, order: str = "rca_id") -> DataFrame:

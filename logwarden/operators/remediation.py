@@ -120,10 +120,7 @@ def unknown_decisions(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     return missed.select(
         "decision_id",
         "incident_id",
-        F.concat(
-            F.lit("No pending remediation action found for incident ID: "),
-            F.col("incident_id").cast("string"),
-        ).alias("error"),
+        F.concat(F.lit("Nothing is held for incident "), F.col("incident_id").cast("string")).alias("error"),
     )
 
 
@@ -131,19 +128,13 @@ def pending_after(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     return pending.join(decisions.select("incident_id").distinct(), "incident_id", "left_anti")
 
 
-def _left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join as matches plus non-matches.
+def lineage(incidents: DataFrame, rca: DataFrame, history: DataFrame) -> DataFrame:
+    """Every incident with its reports and the outcome of their actions.
 
-    The inner part lets adaptive execution split a hot key on either side, which
-    a left join allows on the left side only.
+    An incident has few reports, so the left side is the one that may be skewed, and
+    adaptive execution splits it.
     """
-    missing = left.join(right.select(key), key, "left_anti")
-    return left.join(right, key).unionByName(missing, allowMissingColumns=True)
-
-
-def lineage(incidents: DataFrame, rca: DataFrame, history: DataFrame) -> DataFrame:
-    """Every incident with its reports and the outcome of their actions."""
     reports = rca.select("incident_id", "rca_id", "risk_level", "suggested_fix")
     outcomes = history.select("incident_id", "execution_id", "execution_type", "status")
     base = incidents.select("incident_id", "service_name", "anomaly_score")
-    return _left_join(_left_join(base, reports, "incident_id"), outcomes, "incident_id")
+    return base.join(reports, "incident_id", "left").join(outcomes, "incident_id", "left")

@@ -26,13 +26,19 @@ def _length_between(col: Column, upper: int) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """ISO-8601 with or without offset (session zone, UTC, when naive); epoch numbers too."""
+    """ISO-8601 with or without offset (UTC when naive); epoch numbers too."""
+    # A naive time is read without a zone and then taken as UTC, whatever the session's zone.
+    zoned = text.rlike(r"(?i)(?:[0-9](?:z|[+-][0-9]{1,2}(?::?[0-9]{2})?)|[ 0-9][a-z]+(?:/[a-z_]+)*)\s*$")
+    naive = F.concat(text.try_cast("timestamp_ntz").cast("string"), F.lit("Z"))
+    # A date has its own dashes: only what follows a time can be an offset.
+    dated = text.rlike(r"^\s*[+-]?[0-9]{4,7}(?:-[0-9]{1,2}){0,2}\s*$")
+    instant = F.when(zoned & ~dated, F.try_to_timestamp(text)).otherwise(F.try_to_timestamp(naive))
 
     def from_number(n: Column) -> Column:
         # Fixed value: numbers above this are milliseconds.
         seconds = F.when(F.abs(n) > 2e10, n / 1000).otherwise(n)
         micros = F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
-        return F.when(n.isNotNull(), micros).otherwise(F.try_to_timestamp(text))
+        return F.when(n.isNotNull(), micros).otherwise(instant)
 
     # Bound as a lambda variable, the number is parsed once per row.
     return F.get(F.transform(F.array(text.try_cast("double")), from_number), F.lit(0))

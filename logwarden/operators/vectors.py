@@ -23,7 +23,11 @@ Encoder = Callable[[list[str]], np.ndarray]
 # Query vectors travel to every task only while they fit in this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 50_000
-SIMILARITY_DIGITS = 9
+#: Products of equal vectors may differ behind these digits with their place in a block;
+#: ranks use the rounded value so that ties go by id. The floor is tested unrounded.
+SIMILARITY_DIGITS = 12
+#: Queries that are compared with one batch of the corpus at once.
+QUERY_TILE = 1024
 
 
 def encode(
@@ -89,13 +93,18 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def _best(queries: np.ndarray, query_ids, corpus: np.ndarray, ids, k: int, floor: float) -> pd.DataFrame:
     """Top k of one corpus block for every query, ties included."""
-    sims = np.round(queries @ _unit_rows(corpus).T, SIMILARITY_DIGITS)
-    keep = sims >= floor
-    if sims.shape[1] > k:
-        kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-        keep &= sims >= kth
-    q, c = np.nonzero(keep)
-    return pd.DataFrame({"query_id": query_ids[q], "id": ids[c], "similarity": sims[q, c]})
+    unit = _unit_rows(corpus).T
+    parts = []
+    for start in range(0, len(queries), QUERY_TILE):
+        sims = queries[start : start + QUERY_TILE] @ unit
+        keep = sims >= floor
+        sims = np.round(sims, SIMILARITY_DIGITS)
+        if sims.shape[1] > k:
+            kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+            keep &= sims >= kth
+        q, c = np.nonzero(keep)
+        parts.append(pd.DataFrame({"query_id": query_ids[start + q], "id": ids[c], "similarity": sims[q, c]}))
+    return pd.concat(parts)
 
 
 def _trim(hits: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 
 _ID10 = "lpad(CAST(stream_id AS STRING), 10, '0')"
 
+
+def _word(words: str, step: int) -> str:
+    """SQL for one of the words, picked by the event's number."""
+    n = len(words.split())
+    return f"split_part('{words}', ' ', CAST(((stream_id - stream_id % {step}) / {step}) % {n} + 1 AS INT))"
+
+
+# Sentences are put together from these, which gives thousands of templates: one holds a
+# third of the rows, most others a few.
+_PARTS = {
+    "@first": _word("quiet amber brisk coral dusty early faint green heavy ivory jolly keen lunar mossy noble ochre", 8),
+    "@second": _word("harbor lantern meadow orchard pebble quarry ribbon saddle tunnel valley willow zephyr anchor", 128),
+    "@third": _word("stalled resumed drained rotated trimmed flushed paused merged split queued parked", 1664),
+}
+
 TABLES = {
     "base": """
         SELECT event_id AS stream_id, concat('svc-', CAST(user_id % 8 AS STRING)) AS service_name,
@@ -27,25 +42,27 @@ TABLES = {
     "logs": """
         SELECT stream_id, service_name, ts, user_id, value, k, level, raw,
                1.0e0 / (1.0e0 + exp(raw * 6)) AS score,
-               CASE stream_id % 8
-               WHEN 0 THEN concat('Failed login from 10.', CAST(k AS STRING), '.0.', CAST(stream_id % 250 AS STRING),
-                    ' for user 550e8400-e29b-41d4-a716-', lpad(CAST(stream_id AS STRING), 12, '0'))
-               WHEN 1 THEN concat('Query executed in ', CAST(k AS STRING), 'ms using ', CAST(k % 16 + 1 AS STRING),
-                    '.5GB of heap')
-               WHEN 2 THEN concat('Disk usage at ', CAST(k AS STRING), '% on /var/lib/data',
-                    CAST(user_id % 5 AS STRING), '/events.log')
-               WHEN 3 THEN concat('Listening on port=', CAST(8000 + k AS STRING), ' after attempt ',
-                    CAST(k % 5 AS STRING))
-               WHEN 4 THEN 'Database connection pool exhausted'
-               WHEN 5 THEN concat('Webhook dispatched to https://merchant.io/hooks/', CAST(stream_id AS STRING),
-                    '?token=abc and mail to user', CAST(user_id AS STRING), '@example.com')
-               WHEN 6 THEN concat('Request at 2024-01-15T12:34:', lpad(CAST(k % 60 AS STRING), 2, '0'),
-                    'Z from 2001:0db8:85a3:0000:0000:8a2e:0370:', lpad(CAST(k AS STRING), 4, '0'),
-                    ' commit a3f2c1b4d9e8f7', lpad(CAST(stream_id AS STRING), 10, '0'))
-               ELSE concat('Jan 15 12:34:', lpad(CAST(k % 60 AS STRING), 2, '0'), ' worker  span 0x',
-                    lpad(CAST(k AS STRING), 4, '0'), ' id a3f2', lpad(CAST(k AS STRING), 6, '0'), ' stamp_',
-                    CAST(1700000000 + stream_id AS STRING), '  job_id=', CAST(stream_id AS STRING), ' lot 1',
-                    lpad(CAST(stream_id AS STRING), 7, '0'), ' peer a:b')
+               CASE WHEN stream_id % 3 = 0 THEN 'Heartbeat of the scheduler arrived' ELSE CASE stream_id % 8
+               WHEN 0 THEN concat(@first, ' ', @second, ' denied entry to account 7d444840-9dc0-11d1-b245-',
+                    lpad(CAST(stream_id AS STRING), 12, '0'), ' from 172.16.', CAST(k % 250 AS STRING), '.',
+                    CAST(stream_id % 250 AS STRING))
+               WHEN 1 THEN concat('The ', @second, ' report took ', CAST(k AS STRING), 'ms and held ',
+                    CAST(k % 16 + 1 AS STRING), '.25GB while it ', @third)
+               WHEN 2 THEN concat('Store /srv/shelf', CAST(user_id % 5 AS STRING), '/', @first, '.idx is at ',
+                    CAST(k AS STRING), '% and ', @third)
+               WHEN 3 THEN concat(@first, ' gate bound to port=', CAST(9000 + k AS STRING), ' and ', @third,
+                    ' in round ', CAST(k % 5 AS STRING))
+               WHEN 4 THEN concat('Prüfung ', @second, ' ', @third, ' – délai dépassé für ', @first)
+               WHEN 5 THEN concat('Sent ', @second, ' to https://hooks.example.net/in/', CAST(stream_id AS STRING),
+                    '?key=zz and told ops', CAST(user_id AS STRING), '@example.org that it ', @third)
+               WHEN 6 THEN concat('Since 2023-11-05T06:07:', lpad(CAST(k % 60 AS STRING), 2, '0'),
+                    'Z peer 2001:0db8:1c2d:0000:0000:9f3e:0417:', lpad(CAST(k AS STRING), 4, '0'), ' ', @second, ' ',
+                    @third, ' build 5ca1ab1e0ddba1', lpad(CAST(stream_id AS STRING), 10, '0'))
+               ELSE concat('Nov 05 06:07:', lpad(CAST(k % 60 AS STRING), 2, '0'), ' runner  trace 0x',
+                    lpad(CAST(k AS STRING), 4, '0'), ' tag 9b1d', lpad(CAST(k AS STRING), 6, '0'), ' mark_',
+                    CAST(1700000000 + stream_id AS STRING), '  unit_id=', CAST(stream_id AS STRING), ' batch 2',
+                    lpad(CAST(stream_id AS STRING), 7, '0'), ' link c:d ', @third)
+               END
                END AS message
         FROM base""",
     # Four in fifty rows are rejected, others need trimming or defaults.
@@ -159,6 +176,9 @@ TABLES = {
         SELECT conv_id, turn, role, text FROM conversations""",
 }
 
+for _part, _sql in _PARTS.items():
+    TABLES["logs"] = TABLES["logs"].replace(_part, _sql)
+
 _NEEDS = {
     "base": [], "logs": ["base"], "logs_raw": ["logs"], "json_lines": ["logs"], "lines": ["logs"],
     "log_entries": ["logs"], "incidents": ["logs"], "incident_entries": ["incidents"], "rca": ["incidents"],
@@ -214,10 +234,5 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table. A table of fewer scan tasks than cores is spread over them.
-
-    Large tables have more tasks than that and are read as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """One given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

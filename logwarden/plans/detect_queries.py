@@ -49,7 +49,7 @@ _SIMILAR = """
     q AS (SELECT label AS query_id, list(x ORDER BY pos) AS c FROM means GROUP BY label),
     d AS (SELECT query_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, c FROM embeddings, q),
     sims AS (SELECT query_id, id, round(list_dot_product(v, c)
-               / ((sqrt(list_dot_product(v, v)) + 1e-10) * (sqrt(list_dot_product(c, c)) + 1e-10)), 9) AS similarity FROM d),
+               / ((sqrt(list_dot_product(v, v)) + 1e-10) * (sqrt(list_dot_product(c, c)) + 1e-10)), 12) AS similarity FROM d),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims)
 """
 
@@ -353,7 +353,7 @@ def context_rows(spark, sf_dir):
 @query("detect_incidents")
 def detect_incidents(spark, sf_dir):
     """The whole detection plan: templates, vectors, trained forest, threshold, context."""
-    found = detection.detect(derived.logs(spark, sf_dir), threshold=0.5, detected_at=F.lit(0.0))
+    found = detection.detect(derived.logs(spark, sf_dir), detected_at=F.lit(0.0))
     return found.select(
         "incident_id", "service_name", "normalized_message", "anomaly_score", "context_window_size"
     )

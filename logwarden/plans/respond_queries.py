@@ -64,9 +64,9 @@ def sample_analyser():
     """A stand-in analyser: valid, invalid and failing answers, decided by the message."""
 
     def analyse(service: str, message: str, prompt: str) -> str:
-        if "pool" in message:
+        if "Heartbeat" in message:
             raise TimeoutError("no answer")
-        risk = "HIGH" if "Failed" in message else "LOW"
+        risk = "HIGH" if "denied" in message else "LOW"
         return json.dumps(
             {"root_cause": f"cause in {service}", "suggested_fix": "restart pod", "risk_level": risk,
              "impact_analysis": f"{len(prompt)} characters read"}
@@ -78,9 +78,9 @@ def sample_analyser():
 @query(
     "rca_enrich",
     ("incidents",),
-    """SELECT incident_id, service_name, CASE WHEN message LIKE '%pool%' THEN 'error' ELSE 'success' END AS status,
-              CAST(CASE WHEN message LIKE '%pool%' THEN 3 ELSE 1 END AS BIGINT) AS attempts,
-              CASE WHEN message LIKE '%pool%' THEN 'TimeoutError: no answer' END AS error FROM incidents""",
+    """SELECT incident_id, service_name, CASE WHEN message LIKE '%Heartbeat%' THEN 'error' ELSE 'success' END AS status,
+              CAST(CASE WHEN message LIKE '%Heartbeat%' THEN 3 ELSE 1 END AS BIGINT) AS attempts,
+              CASE WHEN message LIKE '%Heartbeat%' THEN 'TimeoutError: no answer' END AS error FROM incidents""",
 )
 def rca_enrich(spark, sf_dir):
     asked = rca.enrich(typed_incidents(spark, sf_dir), sample_analyser, backoff_s=0.0)
@@ -91,14 +91,46 @@ def rca_enrich(spark, sf_dir):
     "rca_insights",
     ("incidents",),
     """SELECT concat('rca-', incident_id) AS rca_id, incident_id, concat('cause in ', service_name) AS root_cause,
-              CASE WHEN message LIKE '%Failed%' THEN 'HIGH' ELSE 'LOW' END AS risk_level, message AS raw_message
-       FROM incidents WHERE message NOT LIKE '%pool%'""",
+              CASE WHEN message LIKE '%denied%' THEN 'HIGH' ELSE 'LOW' END AS risk_level, message AS raw_message
+       FROM incidents WHERE message NOT LIKE '%Heartbeat%'""",
 )
 def rca_insights(spark, sf_dir):
     asked = rca.enrich(typed_incidents(spark, sf_dir), sample_analyser, backoff_s=0.0)
     return rca.insights(asked, F.lit(0.0)).select("rca_id", "incident_id", "root_cause", "risk_level", "raw_message")
 
 
+def odd_analyser():
+    """Answers that two JSON readers could judge differently, decided by the message's length."""
+
+    def analyse(service: str, message: str, prompt: str) -> str:
+        report = {"root_cause": "c", "suggested_fix": "f", "risk_level": "LOW", "impact_analysis": "i"}
+        text = json.dumps(report)
+        return {
+            1: text[:-1] + ', "risk_level": "LOW"}', 2: text[:-1] + ', "extra": NaN}', 3: f"[{text}]",
+            4: json.dumps(report | {"risk_level": "HUGE"}), 5: json.dumps(report | {"root_cause": None}), 6: "",
+        }.get(len(message) % 8, text)
+
+    return analyse
+
+
+@query(
+    "rca_outcomes",
+    ("incidents",),
+    """SELECT incident_id, CASE WHEN length(message) % 8 IN (0, 7) THEN 'insight' ELSE 'failure' END AS outcome,
+              strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS seen_at FROM incidents""",
+)
+def rca_outcomes(spark, sf_dir):
+    """Every incident is an insight or a failure, exactly one, with its time to the microsecond."""
+    incidents = typed_incidents(spark, sf_dir)
+    seen = derived.table(spark, sf_dir, "incidents").select("incident_id", F.col("ts").alias("timestamp"))
+    incidents = incidents.drop("timestamp").join(seen, "incident_id")
+    asked = rca.enrich(incidents, odd_analyser, max_attempts=1, backoff_s=0.0)
+    both = rca.insights(asked, F.lit(0.0)).select("incident_id", F.lit("insight").alias("outcome"), "timestamp").unionByName(
+        rca.failures(asked).select("incident_id", F.lit("failure").alias("outcome"), "timestamp")
+    )
+    return both.select("incident_id", "outcome", time_text("timestamp").alias("seen_at"))
+
+
 _RISK = "CASE WHEN risk_level IN ('LOW','MEDIUM','HIGH','CRITICAL') THEN risk_level ELSE 'LOW' END"
 _PLANNED = f"""
     known AS (SELECT rca_id, incident_id, service_name, root_cause, suggested_fix, stream_id, k, {_RISK} AS risk_level,
@@ -236,7 +268,7 @@ def deny(spark, sf_dir):
     "unknown_decision",
     ("rca", "decisions"),
     f""", {_DECIDED} SELECT decision_id, incident_id,
-        concat('No pending remediation action found for incident ID: ', incident_id) AS error FROM decisions
+        concat('Nothing is held for incident ', incident_id) AS error FROM decisions
         WHERE decision_id NOT IN (SELECT decision_id FROM effective WHERE incident_id IN (SELECT incident_id FROM pending))""",
 )
 def unknown_decision(spark, sf_dir):
@@ -275,8 +307,8 @@ def incident_lineage(spark, sf_dir):
        FROM incident_entries ORDER BY entry_id DESC LIMIT 20""",
 )
 def incident_recent(spark, sf_dir):
-    decoded = entries.decode_incidents(incident_entries(spark, sf_dir))
-    return recent.recent_incidents(decoded).select("incident_id", "service_name", "raw_message")
+    rows = recent.recent_incidents(incident_entries(spark, sf_dir), decode=entries.decode_incidents)
+    return rows.select("incident_id", "service_name", "raw_message")
 
 
 @query(
@@ -286,8 +318,8 @@ def incident_recent(spark, sf_dir):
        FROM rca_entries ORDER BY entry_id DESC LIMIT 10""",
 )
 def rca_recent(spark, sf_dir):
-    decoded = entries.decode_rca(rca_entries(spark, sf_dir))
-    return recent.recent_rca(decoded).select("rca_id", "root_cause", "risk_level")
+    rows = recent.recent_rca(rca_entries(spark, sf_dir), decode=entries.decode_rca)
+    return rows.select("rca_id", "root_cause", "risk_level")
 
 
 @query(
@@ -297,8 +329,8 @@ def rca_recent(spark, sf_dir):
        FROM history_entries ORDER BY entry_id DESC LIMIT 15""",
 )
 def history_recent(spark, sf_dir):
-    decoded = entries.decode_history(history_entries(spark, sf_dir))
-    return recent.recent_history(decoded).select("execution_id", "execution_type", "status")
+    rows = recent.recent_history(history_entries(spark, sf_dir), decode=entries.decode_history)
+    return rows.select("execution_id", "execution_type", "status")
 
 
 @query(

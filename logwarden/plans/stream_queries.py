@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logwarden.operators import remediation
+from logwarden.operators import detection, remediation
 from logwarden.operators.templates import add_template
 from logwarden.operators.validation import validate_json
 from logwarden.plans import derived
@@ -110,21 +110,44 @@ def stream_detect(spark, sf_dir):
     base = _ingest(spark, sf_dir)
     telemetry = files.read_stream(spark, f"{base}/telemetry", LOGS)
     stages.start_detect(
-        telemetry, base, threshold=0.5, detected_at=F.lit(0.0), available_now=True
+        telemetry, base, detected_at=F.lit(0.0), available_now=True
     ).awaitTermination()
     found = files.read_all(spark, f"{base}/incidents", INCIDENTS)
     return found.select("incident_id", "service_name", "normalized_message", "anomaly_score", "context_window_size")
 
 
+@query(
+    "detect_parity",
+    ("logs",),
+    "SELECT concat('incident-', CAST(stream_id AS VARCHAR)) AS incident_id, CAST('' AS VARCHAR) AS only_in FROM logs WHERE false",
+)
+def detect_parity(spark, sf_dir):
+    """Incidents that batch and streaming detection don't agree on: none, without a model given to either."""
+    logs = derived.logs(spark, sf_dir).select("stream_id", "service_name", "timestamp", "level", "message", "metadata")
+    base = scratch_path(spark, "parity")
+    logs.write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(logs.schema).parquet(f"{base}/in")
+    stages.start_detect(rows, base, threshold=0.45, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    streamed = files.read_all(spark, f"{base}/incidents", INCIDENTS).select("incident_id", F.round("anomaly_score", 6).alias("score"))
+    whole = spark.read.schema(logs.schema).parquet(f"{base}/in")
+    batch = detection.detect(whole, threshold=0.45, detected_at=F.lit(0.0)).select(
+        "incident_id", F.round("anomaly_score", 6).alias("score")
+    )
+    return (
+        batch.exceptAll(streamed).select("incident_id", F.lit("batch").alias("only_in"))
+        .unionByName(streamed.exceptAll(batch).select("incident_id", F.lit("stream").alias("only_in")))
+    )
+
+
 @query(
     "stream_response",
     ("incidents",),
-    """, r AS (SELECT incident_id, CASE WHEN message LIKE '%Failed%' THEN 'HIGH' ELSE 'LOW' END AS risk_level
-             FROM incidents WHERE message NOT LIKE '%pool%')
+    """, r AS (SELECT incident_id, CASE WHEN message LIKE '%denied%' THEN 'HIGH' ELSE 'LOW' END AS risk_level
+             FROM incidents WHERE message NOT LIKE '%Heartbeat%')
        SELECT incident_id, CASE risk_level WHEN 'LOW' THEN 'history' ELSE 'pending' END AS stream,
               CASE risk_level WHEN 'LOW' THEN 'mock-remediation restart_daemon' ELSE 'mock-remediation complex_mitigation' END
               AS target_command FROM r
-       UNION ALL SELECT incident_id, 'failed', NULL FROM incidents WHERE message LIKE '%pool%'""",
+       UNION ALL SELECT incident_id, 'failed', NULL FROM incidents WHERE message LIKE '%Heartbeat%'""",
 )
 def stream_response(spark, sf_dir):
     """Incidents through analysis and remediation, stage by stage."""
@@ -154,6 +177,6 @@ def stream_chain(spark, sf_dir):
     base = scratch_path(spark, "chain")
     lines = derived.stream(spark, sf_dir, "json_lines")
     stages.drain(
-        spark, validate_json(lines, "line"), base, sample_analyser, threshold=0.5, detected_at=F.lit(0.0)
+        spark, validate_json(lines, "line"), base, sample_analyser, detected_at=F.lit(0.0)
     )
     return stages.stage_lengths(spark, base)

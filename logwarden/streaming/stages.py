@@ -91,8 +91,9 @@ def start_detect(
 ) -> StreamingQuery:
     """Logs to ``incidents``; keeps ``vectors``, ``model`` and ``ring`` below ``base``.
 
-    The forest is trained once, on every vector stored up to and including the
-    batch that reaches ``train_threshold``; batches before it raise no incidents.
+    The forest is trained once, when ``train_threshold`` vectors are stored, on the rows
+    with the smallest ids, and the same ids as in batch stay unscored. Batches before
+    that raise no incidents.
     """
     check_threshold(threshold)
     spark = logs.sparkSession
@@ -103,9 +104,11 @@ def start_detect(
         if model is not None:
             return model
         stored = read_all(spark, f"{base}/vectors", VECTORS)
-        if stored.count() < train_threshold:
+        ids = detection.baseline_ids(stored, threshold=train_threshold)
+        if ids is None:
             return None
-        model = forest.fit(stored)
+        model = forest.fit(stored.filter(F.col("stream_id") <= F.lit(ids[0])))
+        model.first_id = ids[1]
         forest.save(spark, model, f"{base}/model", 1)
         return model
 
@@ -147,6 +150,9 @@ def start_detect(
             scored = rows.join(
                 scores.filter(is_anomaly(F.col("anomaly_score"), threshold)), "normalized_message", "left"
             )
+            if model.first_id is not None:
+                late = F.col("stream_id") >= F.lit(model.first_id)
+                scored = scored.withColumn("anomaly_score", F.when(late, F.col("anomaly_score")).otherwise(F.lit(0.0)))
         marked = scored.withColumn("_own", F.lit(True)).unionByName(
             ring.withColumn("_own", F.lit(False)), allowMissingColumns=True
         )

@@ -27,13 +27,14 @@ def rate(
 
 
 def distinct_signatures(
-    events: DataFrame, time: str = "timestamp", delay: str = DELAY, salts: int = 16
+    events: DataFrame, time: str = "timestamp", delay: str = DELAY, salts: int | None = None
 ) -> DataFrame:
     """First event of each (service, template) within the delay.
 
     A signature may fill a micro-batch, so its rows are first reduced per salt,
-    spread over the tasks, and the survivors per signature.
+    spread over the tasks (as many as shuffle partitions), and the survivors per signature.
     """
+    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["service_name", "normalized_message"]
     salted = events.withWatermark(time, delay).withColumn("_salt", F.pmod(F.xxhash64(time), F.lit(salts)))
     return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(keys)

@@ -76,3 +76,12 @@ def test_save_and_reload_newest(spark):
         forest.save(spark, forest.fit(df, seed=seed), path, version)
     model = forest.load(spark, path)
     assert model.seed == 6 and scores(df, model) == scores(df, forest.fit(df, seed=6))
+
+
+@pytest.mark.parametrize("rows", [150_000, 300_000])
+def test_every_row_can_be_drawn_at_any_size(spark, rows):
+    """The subsamples of the trees are independent: together they hold almost 100 x 256 different rows."""
+    df = spark.range(rows).select(F.col("id").alias("stream_id"), F.array(F.lit(0.0)).alias("vector"))
+    used = forest._subsamples(df, "stream_id", rows, 100, 256, 42).select(F.count_distinct("stream_id")).first()[0]
+    expected = rows * (1 - (1 - 256 / rows) ** 100)
+    assert abs(used - expected) < 0.02 * expected

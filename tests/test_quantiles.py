@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logwarden.operators import quantiles
 from logwarden.sources.tables import newest
@@ -35,3 +36,11 @@ def test_newest_filters_in_place(spark):
     assert sorted(r[0] for r in newest(df, 10).collect()) == list(range(990, 1000))
     assert newest(df.filter("stream_id < 0"), 10).count() == 0
     assert newest(df, 5000).count() == 1000
+
+
+def test_nan_and_null_at_any_number_of_buckets(spark):
+    values = [float(i) for i in range(99)] + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    one = [tuple(quantiles.exact_percentiles(df, "v", {"p50": 0.5, "p95": 0.95}, buckets=b).first()) for b in (1, 4, 8)]
+    assert one[0] == one[1] == one[2] == (49.5, 94.05)
+    assert quantiles.histogram_quantiles(df, "v", (("half", (F.col("v") < 50)),)).count() == 3

@@ -35,7 +35,7 @@ def test_reports_are_strict(spark):
     df = spark.createDataFrame([(t,) for t in texts], "report string")
     errors = [r["report_error"] for r in rca.validate_report(df).collect()]
     assert errors == [None, "risk_level", "root_cause", "impact_analysis", "json", "json"]
-    assert [rca._problem(t) for t in texts[:5]] == errors[:5]
+    assert [rca._read(t)[0] for t in texts[:5]] == errors[:5]
 
 
 def test_analyser_is_retried(spark):
@@ -91,9 +91,17 @@ def test_decisions(spark):
 
 
 def test_read_limits(spark):
-    df = spark.range(200).select(F.format_string("i%03d", "id").alias("incident_id"))
+    df = spark.range(200).select(F.format_string("i%03d", "id").alias("stream_id"))
     assert recent.recent_incidents(df).count() == 20
     assert recent.recent_incidents(df, 100).first()[0] == "i199"
     for bad in (0, 101):
         with pytest.raises(ValueError):
             recent.recent_incidents(df, bad)
+    decoded = recent.recent_incidents(df, 3, decode=lambda rows: rows.select(F.upper("stream_id").alias("x")))
+    assert {r["x"] for r in decoded.collect()} == {"I199", "I198", "I197"}
+
+
+def test_frames_without_message_show_the_raw_one(spark):
+    frame = "array<struct<timestamp:string,level:string,message:string,raw_message:string>>"
+    df = spark.createDataFrame([("s", "m", [("t", None, None, "raw")])], f"service_name string, raw_message string, context_window {frame}")
+    assert "[t] UNKNOWN - raw" in rca.with_prompt(df).first()["prompt"]

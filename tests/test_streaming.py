@@ -44,14 +44,25 @@ def test_detect_matches_batch(spark, sf, parts):
     model = forest.fit(vectors.encode(add_template(logs)))
     forest.save(spark, model, f"{base}/model", 1)
     stream = files.read_stream(spark, folder, LOGS, 1)
-    stages.start_detect(stream, base, threshold=0.5, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    stages.start_detect(stream, base, threshold=0.42, detected_at=F.lit(0.0), available_now=True).awaitTermination()
     got = shape(files.read_all(spark, f"{base}/incidents", detection_schema()))
-    want = shape(detection.detect(logs, model=model, threshold=0.5, detected_at=F.lit(0.0), buckets=3))
+    want = shape(detection.detect(logs, model=model, threshold=0.42, detected_at=F.lit(0.0), buckets=3))
     assert got == want and got
     if parts > 1:
         assert len(os.listdir(f"{base}/vectors")) == parts
 
 
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_detect_trains_itself_as_in_batch(spark, sf, parts):
+    """No model is given: both train on the same first rows, whatever the sizes of the files."""
+    folder, base = scratch_path(spark, "in"), scratch_path(spark, "out")
+    logs = write_files(spark, sf, folder, parts)
+    stream = files.read_stream(spark, folder, LOGS, 1)
+    stages.start_detect(stream, base, threshold=0.42, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    got = shape(files.read_all(spark, f"{base}/incidents", detection_schema()))
+    assert got == shape(detection.detect(logs, threshold=0.42, detected_at=F.lit(0.0))) and got
+
+
 def detection_schema():
     from logwarden.schemas import INCIDENTS
 
@@ -64,7 +75,7 @@ def test_restart_repeats_nothing(spark, sf):
 
     def run():
         stream = files.read_stream(spark, folder, LOGS, 1)
-        stages.start_detect(stream, base, threshold=0.5, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+        stages.start_detect(stream, base, threshold=0.42, detected_at=F.lit(0.0), available_now=True).awaitTermination()
         return shape(files.read_all(spark, f"{base}/incidents", detection_schema()))
 
     first = run()

@@ -60,3 +60,30 @@ def test_lines(spark):
         2: ("target-app", "INFO", "5"),
         3: ("target-app", "INFO", "plain"),
     }
+
+
+def test_session_zone_plays_no_part(spark):
+    """Naive times are UTC and written times end in +00:00 under any session zone."""
+    from logwarden.operators.entries import iso_text
+    from logwarden.operators.validation import parse_timestamp
+
+    texts = [
+        "2024-01-15", "2024-01-15T00:00:00", "2024-01-15 00:00:00.123456", "2024-03-10T02:30:00", "2024-11-03T01:30:00Z",
+        "2024-11-03T05:30:00+00:00", "2024-01-15T00:00:00+02:00", "2024-01-15T00:00:00 Europe/Berlin", "1705276800",
+        "1705276800123", "nonsense", "2024-13-01", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    seen = {}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            seen[name] = [r[0] for r in df.select(iso_text(parse_timestamp(F.col("t")))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen["UTC"] == seen["America/New_York"] == seen["Asia/Kolkata"]
+    assert seen["UTC"] == [
+        "2024-01-15T00:00:00+00:00", "2024-01-15T00:00:00+00:00", "2024-01-15T00:00:00.123456+00:00",
+        "2024-03-10T02:30:00+00:00", "2024-11-03T01:30:00+00:00", "2024-11-03T05:30:00+00:00", "2024-01-14T22:00:00+00:00",
+        "2024-01-14T23:00:00+00:00", "2024-01-15T00:00:00+00:00", "2024-01-15T00:00:00.123000+00:00", None, None, None,
+    ]
