@@ -12,7 +12,9 @@ LEVELS = (1, 2, 4, 8, 16)
 #: Query vectors that are sent to the tasks at once, in bytes.
 BLOCK_BYTES = 8 << 20
 #: Queries and candidates whose bounds are compared at once.
-QUERY_TILE, CANDIDATE_TILE = 512, 2048
+QUERY_TILE, CANDIDATE_TILE = 512, 512
+#: Pairs whose vectors are gathered at once.
+PAIRS = 1 << 14
 #: Share of pairs below which bounds are taken pair by pair.
 FEW = 0.1
 
@@ -46,9 +48,13 @@ class Statistics:
                 self.levels.append(np.hstack([mean * np.sqrt(size), deviation * np.sqrt(size)]))
 
 
-def _products(q: Statistics, rows: np.ndarray, c: Statistics, cols: np.ndarray) -> np.ndarray:
-    """Exact inner products of pairs of integer vectors."""
-    return np.einsum("ij,ij->i", q.vectors[rows], c.vectors[cols])
+def _sums(mine: np.ndarray, a: np.ndarray, theirs: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, gathered in runs of a bounded size."""
+    out = np.empty(len(a), dtype=mine.dtype)
+    for at in range(0, len(a), PAIRS):
+        x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+        out[at : at + PAIRS] = np.einsum("ij,ij->i", mine[x], theirs[y])
+    return out
 
 
 def survivors(q: Statistics, rows: np.ndarray, c: Statistics, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +75,7 @@ def survivors(q: Statistics, rows: np.ndarray, c: Statistics, least: np.ndarray)
         else:
             a, b = pairs
             both = q.norms[rows[a]] + c.norms[b]
-            lower = both - 2 * np.einsum("ij,ij->i", mine[rows[a]], theirs[b])
+            lower = both - 2 * _sums(mine, rows[a], theirs, b)
             keep = (both - lower) / 2 + slack[a, b] >= least[a]
             pairs = a[keep], b[keep]
     return np.nonzero(alive) if pairs is None else pairs
@@ -173,7 +179,7 @@ def _block(rows: DataFrame, asked: DataFrame, number: int, k: int) -> DataFrame:
                         a, b = survivors(q, tile, cands, best.least(tile))
                         other = ids[tile[a]] != cand_ids[b]
                         a, b = tile[a[other]], b[other]
-                        best.add(a, cand_ids[b], _products(q, a, cands, b))
+                        best.add(a, cand_ids[b], _sums(q.vectors, a, cands.vectors, b))
         for at, ids, _, best in known.values():
             row, slot = np.nonzero(np.arange(k)[None, :] < best.full[:, None])
             yield pa.RecordBatch.from_arrays(
