@@ -354,7 +354,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     shared = written(shared.select("anchor", "first"), "substring-anchors")
     buckets = max(8, -(-shared.count() * (50 - GRAM) // (2 * SHARD_WORDS)))
     marks = anchors.join(shared, "anchor").groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "first")).alias("m"))
+    # Written, so that the join has a shuffle on either side and a group of any size can be split.
     copies = known.groupBy("sha").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    copies = written(copies, "substring-copies")
     roles = known.join(copies, "sha").select("id", "key", F.when(F.col("id") == F.col("low"), 1).otherwise(2).alias("role"))
     marks = marks.join(roles.distinct(), ["id", "key"], "left")
     marks = marks.select("id", "key", "m.anchor", "m.first", F.coalesce("role", F.lit(0)).alias("role"))
