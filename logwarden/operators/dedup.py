@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.sources.tables import materialised
+
 SIGNATURE = ("service_name", "normalized_message")
 
 
@@ -16,14 +18,19 @@ def first_ids(events: DataFrame, order: str = "stream_id") -> DataFrame:
 def flag_duplicates(events: DataFrame, order: str = "stream_id") -> DataFrame:
     """Add is_duplicate: true for all but the first event of its signature.
 
-    The join is on the unique id, so a signature of any size stays spread out.
+    The join is on the unique id, so a signature of any size stays spread out. Events are
+    written once before, so that their messages are masked once.
     """
+    events = materialised(events, "signatures")
     firsts = first_ids(events, order).select(F.col("first_id").alias(order), F.lit(True).alias("_first"))
     return events.join(firsts, order, "left").withColumn("is_duplicate", F.col("_first").isNull()).drop("_first")
 
 
 def keep_first(events: DataFrame, order: str = "stream_id") -> DataFrame:
-    return events.join(first_ids(events, order).select(F.col("first_id").alias(order)), order, "left_semi")
+    """First event of each signature: rows are combined before the shuffle, nothing is joined."""
+    rest = [c for c in events.columns if c not in SIGNATURE]
+    firsts = events.groupBy(*SIGNATURE).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return firsts.select(*SIGNATURE, "_row.*").select(*events.columns)
 
 
 def call_reduction(anomalies: DataFrame, order: str = "stream_id") -> DataFrame:

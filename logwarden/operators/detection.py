@@ -13,6 +13,7 @@ from logwarden.operators.entries import iso_text
 from logwarden.operators.ordering import order_splits
 from logwarden.operators.templates import add_template
 from logwarden.schemas import ANOMALY_THRESHOLD, CONTEXT_WINDOW, MICRO_BATCH, TRAIN_THRESHOLD
+from logwarden.sources.tables import materialised
 
 
 def gate_rows(batch_size: int = MICRO_BATCH, threshold: int = TRAIN_THRESHOLD) -> tuple[int, int]:
@@ -79,6 +80,7 @@ def score_events(templated: DataFrame, model, encoder=None) -> DataFrame:
     """Add anomaly_score to every event; 0.0 everywhere without a model."""
     if model is None:
         return templated.withColumn("anomaly_score", F.lit(0.0))
+    templated = materialised(templated, "templates")  # masked once, read for templates and rows
     return templated.join(score_templates(templated, model, encoder), "normalized_message", "left")
 
 
@@ -150,6 +152,7 @@ def detect(
     if model is None:
         scored = templated.withColumn("anomaly_score", F.lit(0.0))
     else:
+        templated = materialised(templated, "templates")
         # Only anomalous templates are joined back, usually few.
         anomalous = score_templates(templated, model, encoder).filter(
             is_anomaly(F.col("anomaly_score"), threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.schemas import STREAM_RETENTION
+from logwarden.session import scratch_path
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -21,6 +22,13 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once below the shared folder and read again, for plans that use it more than once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def newest(df: DataFrame, keep: int = STREAM_RETENTION, order: str = "stream_id") -> DataFrame:
     """Rows of the ``keep`` highest ids (ids are unique).
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,10 +58,28 @@ def _start(
     return writer.trigger(**trigger).start()
 
 
+def with_ids(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Add ``stream_id`` to a micro-batch: unique, without gaps inside it, and above those of earlier batches.
+
+    Rows are numbered in the order of the partitions that read them: the number inside a
+    partition plus the sizes of the partitions before it. The batch's number makes up the
+    upper bits, so a replayed batch gets the same range again.
+    """
+    placed = batch.withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    numbered = placed.join(F.broadcast(starts), "_part")  # one row per partition
+    first = F.lit(batch_id << 40).cast("bigint")
+    return numbered.withColumn("stream_id", first + F.col("_start") + F.col("_row")).drop("_at", "_part", "_row", "_start")
+
+
 def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -> StreamingQuery:
-    """Validated events to ``telemetry`` and ``rejected``; they carry stream_id and errors."""
+    """Validated events to ``telemetry`` and ``rejected``; ids are assigned here unless they carry them."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if "stream_id" not in batch.columns:
+            batch = with_ids(batch, batch_id)
         write_once(accepted(batch), f"{base}/telemetry", batch_id)
         write_once(rejected(batch), f"{base}/rejected", batch_id)
 

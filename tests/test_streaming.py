@@ -96,11 +96,18 @@ def test_json_ingest(spark):
     with open(f"{folder}/a.txt", "w") as f:
         f.write('{"service_name":"A","message":" x "}\n{"service_name":"A"}\nnope\n')
     events = stream_json_events(spark, folder, 1, now=F.lit("2024-01-01").cast("timestamp"))
-    numbered = events.withColumn("stream_id", F.xxhash64("value"))
-    stages.start_ingest(numbered, base, True).awaitTermination()
+    stages.start_ingest(events, base, True).awaitTermination()
     good = files.read_all(spark, f"{base}/telemetry", LOGS).collect()
     assert [(r["service_name"], r["message"], r["level"]) for r in good] == [("a", "x", "INFO")]
     assert files.read_all(spark, f"{base}/rejected", LOGS).count() == 2
+    # Lines that come later, equal ones too, get higher ids of their own.
+    with open(f"{folder}/b.txt", "w") as f:
+        f.write('{"service_name":"A","message":" x "}\n' * 50)
+    events = stream_json_events(spark, folder, 1, now=F.lit("2024-01-01").cast("timestamp"))
+    stages.start_ingest(events, base, True).awaitTermination()
+    ids = [r["stream_id"] for r in files.read_all(spark, f"{base}/telemetry", LOGS).collect()]
+    ids += [r["stream_id"] for r in files.read_all(spark, f"{base}/rejected", LOGS).collect()]
+    assert sorted(ids) == [0, 1, 2, *range(1 << 40, (1 << 40) + 50)]
 
 
 def test_approval_state_spans_batches(spark):
