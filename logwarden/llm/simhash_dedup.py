@@ -226,9 +226,13 @@ def components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     state = None
     for _ in range(max_steps):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Smallest neighbours are written, so that the joins have a shuffle on either side
+        # (or none) and a node with any number of links can be split.
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        low = written(low, "components-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = written(large, "components-large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("low")), "components-low")
         small = large.join(low, "u")
         small = small.select("u", F.col("low").alias("v")).unionByName(
             small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
