@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.llm.common import written
+
 #: Scripts by the first code point of their ranges; fixed values of the Unicode blocks.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
 
     With more of them the most frequent in words are learned.
     """
-    sums = counts(docs.where(F.col(lang_col).isNotNull()), lang_col, text_col)
+    sums = written(counts(docs.where(F.col(lang_col).isNotNull()), lang_col, text_col), "language-counts")
     sizes = sums.where(F.col("cell") >= BUCKETS).groupBy("lang").agg(F.sum("n").alias("words"))
     kept = [r[0] for r in sizes.orderBy(F.desc("words"), "lang").limit(MAX_LANGS).collect()]
     langs = sorted(kept)
