@@ -117,10 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Counts are taken over all of them. The weights of the scaled features are fitted by
     logistic regression on at most ``sample_rows`` whole documents of each class, the
-    first by a hash of the id. Without rows of both classes the score is the share of
+    first by a hash of the id. An id with several labels is toxic if one of them says so;
+    null ids and other labels are passed over. Without rows of both classes the score is the share of
     toxic rows, a half if there are none.
     """
-    labels = labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).dropDuplicates([id_col])
+    labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    labels = labels.groupBy(id_col).agg(F.max(label_col).alias(label_col))
     rows = docs.select(id_col, text_col).join(small(labels, 32), id_col)
     size, seen = class_counts(rows, text_col, label_col)
     if not size.all():
