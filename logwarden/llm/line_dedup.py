@@ -20,6 +20,8 @@ DEPTH = 3
 MIN_TOKENS, MIN_DOCS = 3, 3
 #: Share of its tokens that a template keeps at least.
 CONSTANT = 0.5
+#: Tokens that a task hands on at once.
+BATCH_TOKENS = 50_000
 #: What stands for a token that holds a digit.
 FIELD = b"<*>"
 _DIGITS = re.compile(rb"[^\s]*[0-9][^\s]*")
@@ -72,7 +74,17 @@ def _scan(rows: DataFrame, depth: int) -> DataFrame:
 def _tokens(texts: DataFrame, depth: int) -> DataFrame:
     """(leaf, line, docs, pos, token) of the lines that ``wanted`` lists for a text."""
 
+    names = ["leaf", "line", "docs", "pos", "token"]
+
+    def batch_of(rows: list[tuple[int, int, int, list[int]]]) -> pa.RecordBatch:
+        sizes = [len(r[3]) for r in rows]
+        columns = [np.repeat(np.array([r[k] for r in rows], dtype=np.int64), sizes) for k in range(3)]
+        columns.append(np.concatenate([np.arange(n) for n in sizes] or [np.empty(0, dtype=np.int64)]))
+        columns.append(np.array([t for r in rows for t in r[3]], dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
+
     def work(batches):
+        rows, held = [], 0
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 docs = {(w["leaf"], w["line"]): w["docs"] for w in wanted.as_py()}
@@ -80,12 +92,12 @@ def _tokens(texts: DataFrame, depth: int) -> DataFrame:
                     at = place(line, depth)
                     n = docs.pop(at, None)
                     if n:
-                        hashes = [_signed(xxhash.xxh64_intdigest(t)) for t in tokens_of(line)]
-                        size = len(hashes)
-                        columns = [np.full(size, at[0]), np.full(size, at[1]), np.full(size, n), np.arange(size), np.array(hashes)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, type=pa.int64()) for c in columns], names=["leaf", "line", "docs", "pos", "token"]
-                        )
+                        rows.append((*at, n, [_signed(xxhash.xxh64_intdigest(t)) for t in tokens_of(line)]))
+                        held += len(rows[-1][3])
+                if held > BATCH_TOKENS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        yield batch_of(rows)
 
     return texts.mapInArrow(work, "leaf long, line long, docs long, pos long, token long")
 
