@@ -28,6 +28,7 @@ from logwarden.schemas import (
     PENDING,
     RCA,
     TRAIN_THRESHOLD,
+    VECTOR_DIM,
 )
 from logwarden.streaming.files import (
     batch_done,
@@ -106,9 +107,13 @@ def start_detect(
     train_threshold: int = TRAIN_THRESHOLD,
     detected_at: Column | None = None,
     available_now: bool = False,
+    dim: int = VECTOR_DIM,
 ) -> StreamingQuery:
     """Logs to ``incidents``; keeps ``vectors``, ``model`` and ``ring`` below ``base``.
 
+    Rows whose vector has not ``dim`` components go to ``vectors_rejected`` as well. They
+    neither train nor are scored, but stay in the context of others.
+
     The forest is trained once, when ``train_threshold`` vectors are stored, on the rows
     with the smallest ids, and the same ids as in batch stay unscored. Batches before
     that raise no incidents.
@@ -121,7 +126,7 @@ def start_detect(
         model = forest.load(spark, f"{base}/model")
         if model is not None:
             return model
-        stored = read_all(spark, f"{base}/vectors", VECTORS)
+        stored, _ = vectors.split_by_dim(read_all(spark, f"{base}/vectors", VECTORS), dim)
         ids = detection.baseline_ids(stored, threshold=train_threshold)
         if ids is None:
             return None
@@ -146,6 +151,8 @@ def start_detect(
             "stream_id", "service_name", "timestamp", F.col("log_level").alias("level"),
             F.col("raw_message").alias("message"), "metadata", F.col("normalized_msg").alias("normalized_message"),
         )
+        usable, unusable = vectors.split_by_dim(kept, dim)
+        write_once(unusable, f"{base}/vectors_rejected", batch_id)
         model = trained(batch_id)
 
         own = rows.select(*columns)
@@ -158,7 +165,7 @@ def start_detect(
         if model is None:
             scored = rows.withColumn("anomaly_score", F.lit(0.0))
         else:
-            known = kept.groupBy(F.col("normalized_msg").alias("normalized_message")).agg(
+            known = usable.groupBy(F.col("normalized_msg").alias("normalized_message")).agg(
                 F.any_value("vector").alias("vector")
             )
             scores = forest.score(known, model).select(

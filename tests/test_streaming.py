@@ -63,6 +63,16 @@ def test_detect_trains_itself_as_in_batch(spark, sf, parts):
     assert got == shape(detection.detect(logs, threshold=0.42, detected_at=F.lit(0.0))) and got
 
 
+def test_vectors_of_the_wrong_length_are_set_aside(spark, sf):
+    folder, base = scratch_path(spark, "in"), scratch_path(spark, "out")
+    logs = write_files(spark, sf, folder, 1)
+    stream = files.read_stream(spark, folder, LOGS, 1)
+    stages.start_detect(stream, base, threshold=0.42, available_now=True, dim=7).awaitTermination()
+    assert files.read_all(spark, f"{base}/vectors_rejected", stages.VECTORS).count() == logs.count()
+    assert files.read_all(spark, f"{base}/incidents", detection_schema()).count() == 0
+    assert forest.load(spark, f"{base}/model") is None
+
+
 def detection_schema():
     from logwarden.schemas import INCIDENTS
 
