@@ -24,7 +24,7 @@ CONSTANT = 0.5
 BATCH_TOKENS = 50_000
 #: What stands for a token that holds a digit.
 FIELD = b"<*>"
-_DIGITS = re.compile(rb"[^\s]*[0-9][^\s]*")
+_DIGIT = re.compile(rb"[0-9]")
 
 
 def _signed(value: int) -> int:
@@ -33,7 +33,10 @@ def _signed(value: int) -> int:
 
 def tokens_of(line: bytes) -> list[bytes]:
     """Tokens of a line, with those that hold digits generalised."""
-    return _DIGITS.sub(FIELD, line).split()
+    tokens = line.split()
+    if _DIGIT.search(line):
+        tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+    return tokens
 
 
 def place(line: bytes, depth: int = DEPTH) -> tuple[int, int] | None:
