@@ -30,6 +30,7 @@ from logwarden.schemas import (
     TRAIN_THRESHOLD,
     VECTOR_DIM,
 )
+from logwarden.streaming import approvals
 from logwarden.streaming.files import (
     batch_done,
     exists,
@@ -232,15 +233,43 @@ def start_remediate(
     return _start(reports, f"{base}/_checkpoints/remediate", handle, available_now)
 
 
+def start_decide(pending: DataFrame, decisions: DataFrame, base: str, available_now: bool = False) -> StreamingQuery:
+    """Decisions on held actions to ``decided`` and ``history_decided``.
+
+    The first decision releases an action; outcomes are written before history is
+    derived from them.
+    """
+    spark = pending.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_once(batch, f"{base}/decided", batch_id)
+        outcomes = spark.read.schema(approvals.OUTCOME).parquet(f"{base}/decided/batch_id={batch_id}")
+        write_once(approvals.history_of(outcomes), f"{base}/history_decided", batch_id)
+
+    make_folder(spark, f"{base}/decided")
+    outcomes = approvals.decision_outcomes(pending, decisions)
+    return _start(outcomes, f"{base}/_checkpoints/decide", handle, available_now)
+
+
+def open_actions(spark: SparkSession, base: str) -> DataFrame:
+    """Held actions that no decision has released."""
+    decided = read_all(spark, f"{base}/decided", approvals.OUTCOME).filter("found").select("incident_id")
+    return read_all(spark, f"{base}/pending", PENDING).join(decided, "incident_id", "left_anti")
+
+
 def drain(
     spark: SparkSession,
     validated: DataFrame,
     base: str,
     make_analyser: Callable,
     max_files_per_trigger: int | None = None,
+    decisions: DataFrame | None = None,
     **detect_options,
 ) -> None:
-    """Run all stages over what has arrived, one after the other, then stop."""
+    """Run all stages over what has arrived, one after the other, then stop.
+
+    The last one, which needs a stream of decisions, is left out without it.
+    """
     start_ingest(validated, base, True).awaitTermination()
 
     def source(name: str, schema: str) -> DataFrame:
@@ -251,11 +280,18 @@ def drain(
         source("incidents", INCIDENTS), base, make_analyser, available_now=True, backoff_s=0.0
     ).awaitTermination()
     start_remediate(source("rca", RCA), base, available_now=True).awaitTermination()
+    if decisions is not None:
+        start_decide(source("pending", PENDING), decisions, base, True).awaitTermination()
 
 
 def stage_lengths(spark: SparkSession, base: str) -> DataFrame:
-    """(stream, length) of every stage output: the periodic gauges."""
+    """(stream, length) of every stage output: the periodic gauges.
+
+    ``pending`` counts the actions that are still held, ``history`` automatic and decided ones.
+    """
     from logwarden.operators.counters import stream_lengths
 
-    schemas = {"telemetry": LOGS, "incidents": INCIDENTS, "rca": RCA, "history": HISTORY, "pending": PENDING}
-    return stream_lengths({name: read_all(spark, f"{base}/{name}", s) for name, s in schemas.items()})
+    schemas = {"telemetry": LOGS, "incidents": INCIDENTS, "rca": RCA, "history": HISTORY}
+    streams = {name: read_all(spark, f"{base}/{name}", s) for name, s in schemas.items()}
+    streams["history"] = streams["history"].unionByName(read_all(spark, f"{base}/history_decided", HISTORY))
+    return stream_lengths(streams | {"pending": open_actions(spark, base)})

@@ -154,6 +154,26 @@ def test_approval_state_spans_batches(spark):
     assert history == {"a": "SUCCESS", "b": "ABORTED"}
 
 
+def test_decisions_release_held_actions(spark):
+    folder, base = scratch_path(spark, "decisions"), scratch_path(spark, "out")
+    asked_schema = "decision_id bigint, incident_id string, decision string, decided_at double"
+    held = [(i, "s", "x", "HIGH", "mock-remediation scale_up") for i in ("a", "b", "c")]
+    spark.createDataFrame(held, stages.PENDING).write.parquet(f"{base}/pending/batch_id=0")
+
+    def run():
+        pending = files.read_stream(spark, f"{base}/pending", stages.PENDING)
+        stages.start_decide(pending, files.read_stream(spark, folder, asked_schema), base, True).awaitTermination()
+        return {r["stream"]: r["length"] for r in stages.stage_lengths(spark, base).collect()}
+
+    spark.createDataFrame([(1, "a", "approve", 1.0), (2, "z", "deny", 1.0)], asked_schema).write.parquet(f"{folder}/b0")
+    first = run()
+    assert (first["pending"], first["history"]) == (2, 1)
+    spark.createDataFrame([(3, "a", "deny", 2.0), (4, "b", "deny", 2.0)], asked_schema).write.parquet(f"{folder}/b1")
+    second = run()
+    assert (second["pending"], second["history"]) == (1, 2)
+    assert [r["incident_id"] for r in stages.open_actions(spark, base).collect()] == ["c"]
+
+
 def test_dedup_spans_batches(spark):
     from logwarden.streaming import windows
 
