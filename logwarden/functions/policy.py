@@ -56,7 +56,7 @@ def feed_command(fix: Column) -> Column:
 
 
 def action_result(command: Column) -> Column:
-    """Struct (returncode, stdout, stderr) a command yields; nothing is executed."""
+    """Struct (returncode, stdout, stderr) that a stand-in run of a command gives; nothing is executed."""
     words = F.split(strip(F.coalesce(command, F.lit(""))), r"\s+")
     first = F.get(words, 0)
     action = F.coalesce(F.get(words, 1), F.lit("benign"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,13 @@ BY_SYSTEM = "System (Auto)"
 BY_APPROVAL = "Operator (Approved)"
 BY_DENIAL = "Operator (Denied)"
 ABORTED = "ABORTED"
+PLANNED = "PLANNED"
 ABORT_TEXT = "Mitigation Aborted by Operator"
 OUTBOX_EVENT = "pending_remediation_approval"
 
+# Takes the command and gives the struct (returncode, stdout, stderr) of its run.
+Outcome = Callable[[Column], Column]
+
 PENDING_COLUMNS = ("incident_id", "service_name", "action_id", "risk_level", "target_command")
 
 
@@ -50,8 +56,12 @@ def _history(rows: DataFrame, execution_id: Column, kind: str, status: Column, s
     )
 
 
-def _executed(rows: DataFrame, execution_id: Column, kind: str, by: str, at: Column) -> DataFrame:
-    done = rows.withColumn("_result", policy.action_result(F.col("target_command")))
+def _executed(
+    rows: DataFrame, execution_id: Column, kind: str, by: str, at: Column, outcome: Outcome | None
+) -> DataFrame:
+    if outcome is None:
+        return _history(rows, execution_id, kind, F.lit(PLANNED), F.lit(""), F.lit(""), F.lit(0.0), by, at)
+    done = rows.withColumn("_result", outcome(F.col("target_command")))
     result = F.col("_result")
     return _history(
         done, execution_id, kind, policy.execution_status(result), result["stdout"],
@@ -59,11 +69,17 @@ def _executed(rows: DataFrame, execution_id: Column, kind: str, by: str, at: Col
     )
 
 
-def auto_history(planned: DataFrame, executed_at: Column | None = None) -> DataFrame:
-    """History rows of the actions run without approval."""
+def auto_history(
+    planned: DataFrame, executed_at: Column | None = None, outcome: Outcome | None = None
+) -> DataFrame:
+    """History rows of the actions that need no approval.
+
+    ``outcome`` maps a command to the struct (returncode, stdout, stderr) of its run.
+    Nothing is executed here: without it the status is ``PLANNED`` and the output empty.
+    """
     auto = planned.filter(F.col("execution_type") == policy.AUTO)
     key = F.concat(F.lit("auto-"), F.col("rca_id").cast("string"))
-    return _executed(auto, key, policy.AUTO, BY_SYSTEM, _now() if executed_at is None else executed_at)
+    return _executed(auto, key, policy.AUTO, BY_SYSTEM, _now() if executed_at is None else executed_at, outcome)
 
 
 def gated(planned: DataFrame) -> DataFrame:
@@ -96,11 +112,11 @@ def _decided(pending: DataFrame, decisions: DataFrame, wanted: str) -> DataFrame
     return effective.join(pending, "incident_id")
 
 
-def approve(pending: DataFrame, decisions: DataFrame) -> DataFrame:
-    """History rows of approved actions; ``timestamp`` is the time of the decision."""
+def approve(pending: DataFrame, decisions: DataFrame, outcome: Outcome | None = None) -> DataFrame:
+    """History rows of approved actions; ``timestamp`` is the time of the decision, ``outcome`` as above."""
     key = F.concat(F.lit("approve-"), F.col("incident_id").cast("string"))
     return _executed(
-        _decided(pending, decisions, "approve"), key, policy.GATE, BY_APPROVAL, F.col("decided_at")
+        _decided(pending, decisions, "approve"), key, policy.GATE, BY_APPROVAL, F.col("decided_at"), outcome
     )
 
 

@@ -49,7 +49,7 @@ def rca_counters(spark, sf_dir):
 def remediation_counters(spark, sf_dir):
     p = planned(spark, sf_dir)
     return counters.remediation_counter(
-        remediation.auto_history(p, F.lit(0.0)), remediation.pending_actions(p)
+        remediation.auto_history(p, F.lit(0.0), policy.action_result), remediation.pending_actions(p)
     )
 
 
@@ -75,7 +75,7 @@ def dashboard_counts(spark, sf_dir):
     p = planned(spark, sf_dir)
     return counters.dashboard_counts(
         derived.logs(spark, sf_dir), derived.table(spark, sf_dir, "incidents"),
-        remediation.auto_history(p, F.lit(0.0)), remediation.pending_actions(p),
+        remediation.auto_history(p, F.lit(0.0), policy.action_result), remediation.pending_actions(p),
     )
 
 

@@ -208,7 +208,7 @@ def action_result(spark, sf_dir):
         'System (Auto)' AS executed_by, CAST(k AS DOUBLE) AS "timestamp" FROM result WHERE execution_type = 'AUTO_EXECUTE'""",
 )
 def auto_history(spark, sf_dir):
-    return remediation.auto_history(planned(spark, sf_dir), F.col("k"))
+    return remediation.auto_history(planned(spark, sf_dir), F.col("k"), policy.action_result)
 
 
 @query("pending_actions", ("rca",), f", {_PLANNED} SELECT * FROM pending")
@@ -248,7 +248,7 @@ def held(spark, sf_dir):
         FROM pending p JOIN effective e ON p.incident_id = e.incident_id WHERE e.decision = 'approve'""",
 )
 def approve(spark, sf_dir):
-    return remediation.approve(*held(spark, sf_dir))
+    return remediation.approve(*held(spark, sf_dir), policy.action_result)
 
 
 @query(
@@ -297,7 +297,7 @@ def pending_after(spark, sf_dir):
 def incident_lineage(spark, sf_dir):
     inc = derived.table(spark, sf_dir, "incidents").withColumnRenamed("score", "anomaly_score")
     reports = derived.table(spark, sf_dir, "rca").filter(F.col("status") == "success")
-    return remediation.lineage(inc, reports, remediation.auto_history(planned(spark, sf_dir), F.lit(0.0)))
+    return remediation.lineage(inc, reports, remediation.auto_history(planned(spark, sf_dir), F.lit(0.0), policy.action_result))
 
 
 @query(

@@ -72,11 +72,11 @@ def decision_outcomes(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def history_of(outcomes: DataFrame) -> DataFrame:
+def history_of(outcomes: DataFrame, outcome=None) -> DataFrame:
     """History rows of the decisions that found an action."""
     from logwarden.operators import remediation
 
     found = outcomes.filter("found")
     held = found.select("incident_id", "service_name", "action_id", "risk_level", "target_command")
     taken = found.select("incident_id", "decision_id", "decision", "decided_at")
-    return remediation.approve(held, taken).unionByName(remediation.deny(held, taken))
+    return remediation.approve(held, taken, outcome).unionByName(remediation.deny(held, taken))

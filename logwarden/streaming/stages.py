@@ -219,13 +219,14 @@ def start_analyse(
 
 
 def start_remediate(
-    reports: DataFrame, base: str, executed_at: Column | None = None, available_now: bool = False
+    reports: DataFrame, base: str, executed_at: Column | None = None, available_now: bool = False,
+    outcome: remediation.Outcome | None = None,
 ) -> StreamingQuery:
-    """Reports to ``history`` (automatic actions), ``pending`` and ``outbox``."""
+    """Reports to ``history`` (automatic actions), ``pending`` and ``outbox``; see ``auto_history``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         planned = remediation.plan_actions(batch)
-        write_once(remediation.auto_history(planned, executed_at), f"{base}/history", batch_id)
+        write_once(remediation.auto_history(planned, executed_at, outcome), f"{base}/history", batch_id)
         write_once(remediation.pending_actions(planned), f"{base}/pending", batch_id)
         write_once(remediation.notifications(planned), f"{base}/outbox", batch_id)
 
@@ -233,7 +234,10 @@ def start_remediate(
     return _start(reports, f"{base}/_checkpoints/remediate", handle, available_now)
 
 
-def start_decide(pending: DataFrame, decisions: DataFrame, base: str, available_now: bool = False) -> StreamingQuery:
+def start_decide(
+    pending: DataFrame, decisions: DataFrame, base: str, available_now: bool = False,
+    outcome: remediation.Outcome | None = None,
+) -> StreamingQuery:
     """Decisions on held actions to ``decided`` and ``history_decided``.
 
     The first decision releases an action; outcomes are written before history is
@@ -244,7 +248,7 @@ def start_decide(pending: DataFrame, decisions: DataFrame, base: str, available_
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_once(batch, f"{base}/decided", batch_id)
         outcomes = spark.read.schema(approvals.OUTCOME).parquet(f"{base}/decided/batch_id={batch_id}")
-        write_once(approvals.history_of(outcomes), f"{base}/history_decided", batch_id)
+        write_once(approvals.history_of(outcomes, outcome), f"{base}/history_decided", batch_id)
 
     make_folder(spark, f"{base}/decided")
     outcomes = approvals.decision_outcomes(pending, decisions)

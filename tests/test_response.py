@@ -80,10 +80,11 @@ def test_decisions(spark):
         [(1, "a", "approve", 5.0), (2, "a", "deny", 6.0), (3, "b", "deny", 7.0), (4, "x", "approve", 8.0)],
         "decision_id bigint, incident_id string, decision string, decided_at double",
     )
-    approved = remediation.approve(pending, decisions).collect()
+    approved = remediation.approve(pending, decisions, policy.action_result).collect()
     assert [(r["incident_id"], r["status"], r["stdout"], r["timestamp"]) for r in approved] == [
         ("a", "SUCCESS", "[MOCK_HEALING] Executed action: scale_up", 5.0)
     ]
+    assert [(r["status"], r["stdout"]) for r in remediation.approve(pending, decisions).collect()] == [("PLANNED", "")]
     denied = remediation.deny(pending, decisions).collect()
     assert [(r["incident_id"], r["status"], r["stderr"]) for r in denied] == [("b", "ABORTED", "Mitigation Aborted by Operator")]
     assert sorted(r["decision_id"] for r in remediation.unknown_decisions(pending, decisions).collect()) == [2, 4]

@@ -151,7 +151,7 @@ def test_approval_state_spans_batches(spark):
     found = {r["decision_id"]: r["found"] for r in out.collect()}
     assert found == {1: False, 2: True, 3: False, 4: False, 5: True}
     history = {r["incident_id"]: r["status"] for r in approvals.history_of(out).collect()}
-    assert history == {"a": "SUCCESS", "b": "ABORTED"}
+    assert history == {"a": "PLANNED", "b": "ABORTED"}
 
 
 def test_decisions_release_held_actions(spark):
