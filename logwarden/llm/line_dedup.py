@@ -20,6 +20,8 @@ DEPTH = 3
 MIN_TOKENS, MIN_DOCS = 3, 3
 #: Share of its tokens that a template keeps at least.
 CONSTANT = 0.5
+#: Share of the documents of a leaf from which on a token is a constant, whatever the leaf's size.
+COMMON = 0.1
 #: Tokens that a task hands on at once.
 BATCH_TOKENS = 50_000
 #: What stands for a token that holds a digit.
@@ -130,23 +132,38 @@ def templates(pairs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, const
     Lines of one leaf have the same number of tokens and the same leading ones. At the
     other places a token stays in the template if ``min_docs`` documents have it there;
     any other is a field. So a line's template depends on counts of its leaf alone, and a
-    crowded leaf is counted in parts like any other.
+    crowded leaf is counted in parts like any other. Values that are few of a leaf but in
+    ``min_docs`` documents would make that many templates, the more the larger the leaf;
+    so a line has a second template, in which a token stays only if ``COMMON`` of the
+    leaf's documents have it too.
     """
-    reached = pairs.select("id", "key", "leaf").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs)
-    lines = pairs.join(small(written(reached.select("leaf"), "lines-leaves"), 16), "leaf")
+    reached = pairs.select("id", "key", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("reach"))
+    reached = written(reached.where(F.col("reach") >= min_docs), "lines-leaves")
+    lines = pairs.join(small(reached.select("leaf"), 16), "leaf")
     lines = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("key"))
     wanted = lines.groupBy("key").agg(F.collect_list(F.struct("leaf", "line", "docs")).alias("wanted"))
     texts = _chosen(rows, written(wanted, "lines-wanted"), ["key"]).select("text", "wanted")
     tokens = written(_tokens(texts, depth).distinct(), "lines-tokens")
-    stays = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    # Documents, not their lines: those with several lines of a leaf count once for a token.
+    again = pairs.join(small(reached.select("leaf"), 16), "leaf").groupBy("id", "key", "leaf").agg(F.collect_set("line").alias("lines"))
+    again = again.where(F.size("lines") > 1).select("id", "key", "leaf", F.explode("lines").alias("line"))
+    again = again.join(tokens.where(F.col("pos") >= depth).select("leaf", "line", "pos", "token"), ["leaf", "line"])
+    again = again.groupBy("id", "key", "leaf", "pos", "token").agg((F.lit(1) - F.count(F.lit(1))).alias("docs")).where("docs < 0")
+    counted = tokens.select("leaf", "pos", "token", "docs").unionByName(again.select("leaf", "pos", "token", "docs"))
+    stays = counted.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    stays = stays.join(small(reached, 24), "leaf").select("leaf", "pos", "token", "n", (F.col("n") >= COMMON * F.col("reach")).alias("common"))
     known = tokens.join(stays, ["leaf", "pos", "token"], "left")
-    shown = F.when(F.col("n").isNotNull(), F.xxhash64("pos", "token")).otherwise(F.xxhash64("pos"))
-    half = F.lit(0xFFFFFFFF)
-    made = known.withColumn("h", shown).groupBy("leaf", "line").agg(
-        F.sum(F.col("h").bitwiseAND(half)).alias("low"), F.sum(F.shiftrightunsigned("h", 32)).alias("high"),
-        (F.count("n") / F.count(F.lit(1))).alias("share"),
-    )
-    return made.select("leaf", "line", F.xxhash64("leaf", "low", "high").alias("template"), "share").where(F.col("share") >= constant)
+    half, made = F.lit(0xFFFFFFFF), []
+    for k, stay in enumerate((F.col("n").isNotNull(), F.coalesce("common", F.lit(False)))):
+        h = F.when(stay, F.xxhash64("pos", "token")).otherwise(F.xxhash64("pos"))
+        made += [
+            F.sum(h.bitwiseAND(half)).alias(f"low{k}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"high{k}"),
+            (F.sum(stay.cast("long")) / F.count(F.lit(1))).alias(f"share{k}"),
+        ]
+    made = known.groupBy("leaf", "line").agg(*made)
+    both = [F.struct(F.xxhash64("leaf", f"low{k}", f"high{k}").alias("template"), F.col(f"share{k}").alias("share")) for k in (0, 1)]
+    made = made.select("leaf", "line", F.explode(F.array_distinct(F.array(*both))).alias("t")).select("leaf", "line", "t.*")
+    return made.where(F.col("share") >= constant)
 
 
 def remove_recurring_lines(
@@ -155,7 +172,7 @@ def remove_recurring_lines(
 ) -> DataFrame:
     """One row per input row: id, n_lines, n_removed and kept_sha256 (kept lines joined by line feeds).
 
-    A line goes where its template occurs in ``min_docs`` documents. Tokens are runs
+    A line goes where one of its templates occurs in ``min_docs`` documents. Tokens are runs
     without white space of ASCII; those that hold a digit are fields from the start.
     Blank lines and lines of fewer than ``MIN_TOKENS`` tokens stay. A null text has no
     lines, an empty one has one. Rows that repeat id and text count as one document,
@@ -171,7 +188,7 @@ def remove_recurring_lines(
     made = written(templates(pairs, rows.select("key", "text"), min_docs, constant, depth), "lines-templates")
     placed = pairs.join(made, ["leaf", "line"])
     common = placed.select("template", "id", "key").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    common = made.join(common, "template").select("leaf", "line")
+    common = made.join(common, "template").select("leaf", "line").distinct()
     gone = pairs.join(small(written(common, "lines-common"), 32), ["leaf", "line"]).select("key", "leaf", "line").distinct()
     gone = written(gone.groupBy("key").agg(F.collect_list(F.struct("leaf", "line")).alias("gone")), "lines-gone")
     lost = _finish(_chosen(rows.select("key", "text"), gone, ["key"]).select("key", "text", "gone"), depth).dropDuplicates(["key"])

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from logwarden.llm import simhash_views
+from logwarden.llm import line_dedup, simhash_views
 from tests.llm.test_methods import TEXT, roots
 
 
@@ -46,3 +46,21 @@ def test_near_copies_of_large_cells(spark, monkeypatch, made, block):
     rows = list(enumerate(texts))
     got = {r["id"]: r["group_id"] for r in simhash_views.mark_groups(spark.createDataFrame(rows, TEXT)).collect()}
     assert got == near_groups(rows)
+
+
+@pytest.mark.parametrize("n", [100, 12_000])
+def test_lines_with_many_values_at_every_size(spark, n):
+    random.seed(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [a + b + c for a in letters for b in letters[:5] for c in letters[:4]][:200]
+    line = "Posted in the {} section by {} who also edits the {} pages here"
+    rows = [(i, f"{line.format(*random.choices(values, k=3))}\nown words of {i}") for i in range(n)]
+    rows += [(n + i, "The same words in just four documents") for i in range(4)]
+    got = line_dedup.remove_recurring_lines(spark.createDataFrame(rows, TEXT)).collect()
+    assert all(r["n_removed"] >= 1 for r in got)
+
+
+def test_lines_of_one_document_count_once(spark):
+    rows = [(1, "\n".join(f"a b c red {x} p q" for x in ("k", "l", "m"))), (2, "a b c blue n p q"), (3, "a b c green o p q")]
+    got = {r["id"]: r["n_removed"] for r in line_dedup.remove_recurring_lines(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == {1: 3, 2: 1, 3: 1}
