@@ -18,7 +18,7 @@ from logwarden.llm.substring_dedup import _chosen
 DEPTH = 3
 #: Lines with fewer tokens have no template; a template recurs in at least so many documents.
 MIN_TOKENS, MIN_DOCS = 3, 3
-#: Share of its tokens that a template keeps at least.
+#: Share of its tokens that a template keeps at least; those that hold a digit are none of them.
 CONSTANT = 0.5
 #: Share of the documents of a leaf from which on a token is a constant, whatever the leaf's size.
 COMMON = 0.1
@@ -33,20 +33,29 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def tokens_of(line: bytes) -> list[bytes]:
-    """Tokens of a line, with those that hold digits generalised."""
+def tokens_of(line: bytes, constant: float = CONSTANT) -> tuple[list[bytes], bool]:
+    """Tokens of a line, those that hold digits generalised, and whether the line is taken as it is.
+
+    As it is, without a field, goes a line whose other tokens are less than ``constant`` of all.
+    """
     tokens = line.split()
     if _DIGIT.search(line):
-        tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
-    return tokens
+        shown = [FIELD if _DIGIT.search(t) else t for t in tokens]
+        if len(tokens) - shown.count(FIELD) < constant * len(tokens):
+            return [b"=" + t for t in tokens], True
+        return shown, False
+    return tokens, False
 
 
-def place(line: bytes, depth: int = DEPTH) -> tuple[int, int] | None:
-    """(leaf, line): hashes of the path to the line's leaf and of its generalised tokens."""
-    tokens = tokens_of(line)
+def place(line: bytes, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[int, int] | None:
+    """(leaf, line): hashes of the path to the line's leaf and of its generalised tokens.
+
+    A line that is taken as it is has a leaf of its own.
+    """
+    tokens, whole = tokens_of(line, constant)
     if len(tokens) < MIN_TOKENS:
         return None
-    path = b"%d " % len(tokens) + b" ".join(tokens[:depth])
+    path = b"%d " % len(tokens) + b" ".join(tokens if whole else tokens[:depth])
     digest = xxhash.xxh64_intdigest
     return _signed(digest(path)), _signed(digest(b" ".join(tokens)))
 
@@ -55,7 +64,7 @@ def _lines(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.split(b"\n")
 
 
-def _scan(rows: DataFrame, depth: int) -> DataFrame:
+def _scan(rows: DataFrame, depth: int, constant: float) -> DataFrame:
     """Per row: id, key, number of lines, digest of the text, and its distinct (leaf, line)."""
 
     def work(batches):
@@ -63,7 +72,7 @@ def _scan(rows: DataFrame, depth: int) -> DataFrame:
             out = []
             for i, key, text in zip(*(batch.column(k) for k in range(3))):
                 lines = _lines(text.as_py())
-                places = {p for p in (place(x, depth) for x in lines) if p}
+                places = {p for p in (place(x, depth, constant) for x in lines) if p}
                 shown = hashlib.sha256(b"\n".join(lines)).digest()
                 out.append((i.as_py(), key.as_py(), len(lines), shown, [{"leaf": a, "line": b} for a, b in places]))
             columns = list(zip(*out)) or [[]] * 5
@@ -76,7 +85,7 @@ def _scan(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, key long, n_lines long, sha binary, places array<struct<leaf:long,line:long>>")
 
 
-def _tokens(texts: DataFrame, depth: int) -> DataFrame:
+def _tokens(texts: DataFrame, depth: int, constant: float) -> DataFrame:
     """(leaf, line, docs, pos, token) of the lines that ``wanted`` lists for a text."""
 
     names = ["leaf", "line", "docs", "pos", "token"]
@@ -94,10 +103,10 @@ def _tokens(texts: DataFrame, depth: int) -> DataFrame:
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 docs = {(w["leaf"], w["line"]): w["docs"] for w in wanted.as_py()}
                 for line in _lines(text.as_py()):
-                    at = place(line, depth)
+                    at = place(line, depth, constant)
                     n = docs.pop(at, None)
                     if n:
-                        rows.append((*at, n, [_signed(xxhash.xxh64_intdigest(t)) for t in tokens_of(line)]))
+                        rows.append((*at, n, [_signed(xxhash.xxh64_intdigest(t)) for t in tokens_of(line, constant)[0]]))
                         held += len(rows[-1][3])
                 if held > BATCH_TOKENS:
                     yield batch_of(rows)
@@ -107,7 +116,7 @@ def _tokens(texts: DataFrame, depth: int) -> DataFrame:
     return texts.mapInArrow(work, "leaf long, line long, docs long, pos long, token long")
 
 
-def _finish(texts: DataFrame, depth: int) -> DataFrame:
+def _finish(texts: DataFrame, depth: int, constant: float) -> DataFrame:
     """(key, n_removed, kept) of the texts that lose the lines ``gone`` lists."""
 
     def work(batches):
@@ -115,7 +124,7 @@ def _finish(texts: DataFrame, depth: int) -> DataFrame:
             out = []
             for key, text, gone in zip(*(batch.column(k) for k in range(3))):
                 lines, drop = _lines(text.as_py()), {(g["leaf"], g["line"]) for g in gone.as_py()}
-                kept = [x for x in lines if place(x, depth) not in drop]
+                kept = [x for x in lines if place(x, depth, constant) not in drop]
                 out.append((key.as_py(), len(lines) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
@@ -143,7 +152,7 @@ def templates(pairs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, const
     lines = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("key"))
     wanted = lines.groupBy("key").agg(F.collect_list(F.struct("leaf", "line", "docs")).alias("wanted"))
     texts = _chosen(rows, written(wanted, "lines-wanted"), ["key"]).select("text", "wanted")
-    tokens = written(_tokens(texts, depth).distinct(), "lines-tokens")
+    tokens = written(_tokens(texts, depth, constant).distinct(), "lines-tokens")
     # Documents, not their lines: those with several lines of a leaf count once for a token.
     again = pairs.join(small(reached.select("leaf"), 16), "leaf").groupBy("id", "key", "leaf").agg(F.collect_set("line").alias("lines"))
     again = again.where(F.size("lines") > 1).select("id", "key", "leaf", F.explode("lines").alias("line"))
@@ -154,11 +163,12 @@ def templates(pairs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, const
     stays = stays.join(small(reached, 24), "leaf").select("leaf", "pos", "token", "n", (F.col("n") >= COMMON * F.col("reach")).alias("common"))
     known = tokens.join(stays, ["leaf", "pos", "token"], "left")
     half, made = F.lit(0xFFFFFFFF), []
+    field = F.lit(_signed(xxhash.xxh64_intdigest(FIELD)))
     for k, stay in enumerate((F.col("n").isNotNull(), F.coalesce("common", F.lit(False)))):
         h = F.when(stay, F.xxhash64("pos", "token")).otherwise(F.xxhash64("pos"))
         made += [
             F.sum(h.bitwiseAND(half)).alias(f"low{k}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"high{k}"),
-            (F.sum(stay.cast("long")) / F.count(F.lit(1))).alias(f"share{k}"),
+            (F.sum((stay & (F.col("token") != field)).cast("long")) / F.count(F.lit(1))).alias(f"share{k}"),
         ]
     made = known.groupBy("leaf", "line").agg(*made)
     both = [F.struct(F.xxhash64("leaf", f"low{k}", f"high{k}").alias("template"), F.col(f"share{k}").alias("share")) for k in (0, 1)]
@@ -173,7 +183,8 @@ def remove_recurring_lines(
     """One row per input row: id, n_lines, n_removed and kept_sha256 (kept lines joined by line feeds).
 
     A line goes where one of its templates occurs in ``min_docs`` documents. Tokens are runs
-    without white space of ASCII; those that hold a digit are fields from the start.
+    without white space of ASCII; those that hold a digit are fields from the start, but
+    a line with few others is taken as it is.
     Blank lines and lines of fewer than ``MIN_TOKENS`` tokens stay. A null text has no
     lines, an empty one has one. Rows that repeat id and text count as one document,
     null ids as an id. Other columns are not read; an empty table gives an empty result.
@@ -182,7 +193,7 @@ def remove_recurring_lines(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
         F.col(text_col).cast("binary").alias("text"),
     )
-    base = written(_scan(rows, depth), "lines-base")
+    base = written(_scan(rows, depth, constant), "lines-base")
     pairs = base.select("id", "key", F.explode("places").alias("p")).select("id", "key", "p.leaf", "p.line").distinct()
     pairs = written(pairs, "lines-pairs")
     made = written(templates(pairs, rows.select("key", "text"), min_docs, constant, depth), "lines-templates")
@@ -191,7 +202,7 @@ def remove_recurring_lines(
     common = made.join(common, "template").select("leaf", "line").distinct()
     gone = pairs.join(small(written(common, "lines-common"), 32), ["leaf", "line"]).select("key", "leaf", "line").distinct()
     gone = written(gone.groupBy("key").agg(F.collect_list(F.struct("leaf", "line")).alias("gone")), "lines-gone")
-    lost = _finish(_chosen(rows.select("key", "text"), gone, ["key"]).select("key", "text", "gone"), depth).dropDuplicates(["key"])
+    lost = _finish(_chosen(rows.select("key", "text"), gone, ["key"]).select("key", "text", "gone"), depth, constant).dropDuplicates(["key"])
     out = base.select("id", "key", "n_lines", "sha").join(small(written(lost, "lines-lost"), 120), "key", "left")
     return out.select(
         "id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

@@ -1,5 +1,6 @@
 """The whole job where many rows meet: large families, shared passages, many values, hot keys."""
 
+import hashlib
 import random
 
 import pytest
@@ -60,6 +61,13 @@ def test_lines_with_many_values_at_every_size(spark, n):
     assert all(r["n_removed"] >= 1 for r in got)
 
 
+def test_numeric_rows_stay_unless_they_recur(spark):
+    rows = [(i, f"{i} {i + 7} {3 * i}\n{i}.5 total {i} {i}\nsee the page {i} of this\nCall 555 1234 99") for i in range(1, 9)]
+    got = line_dedup.remove_recurring_lines(spark.createDataFrame(rows, TEXT)).collect()
+    kept = {i: "\n".join(t.split("\n")[:2]) for i, t in rows}
+    assert all(r["kept_sha256"] == hashlib.sha256(kept[r["id"]].encode()).hexdigest() for r in got)
+
+
 def test_lines_of_one_document_count_once(spark):
     rows = [(1, "\n".join(f"a b c red {x} p q" for x in ("k", "l", "m"))), (2, "a b c blue n p q"), (3, "a b c green o p q")]
     got = {r["id"]: r["n_removed"] for r in line_dedup.remove_recurring_lines(spark.createDataFrame(rows, TEXT)).collect()}
