@@ -3,6 +3,7 @@
 Rows are placed in contiguous buckets of the order column. Boundaries come from
 approximate quantiles, so buckets hold about the same number of rows whatever
 the distribution of keys; results never depend on where the boundaries fall.
+:func:`numbered` leaves the buckets to Spark's range partitioning.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logwarden.session import scratch_path
+
 ROWS_PER_BUCKET = 2_000_000
+#: Spark numbers rows by partition in the upper bits and by their place in it in these.
+PLACE_BITS = 33
 
 
 def stream_position(stream_id: Column) -> Column:
@@ -58,20 +63,29 @@ def with_bucket(df: DataFrame, order: str, splits: list[float], name: str = "_bu
     return df.withColumn(name, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step_on))
 
 
-def row_index(df: DataFrame, order: str, name: str = "row_index", buckets: int | None = None) -> DataFrame:
-    """Zero-based position in the order of a unique column.
+def numbered(df: DataFrame, *order: str | Column, name: str = "row_index") -> DataFrame:
+    """Add the zero-based position of every row in the given order.
 
-    Rank inside a bucket plus the sizes of the buckets before it: one shuffle by
-    bucket, and a window over one row per bucket.
+    Spark places rows in ranges of the order and sorts each range; ranges are written
+    with the place of each row in its range, so that nothing is placed twice. A row's
+    position is that place plus the sizes of the ranges before it: one row per range
+    is added up and sent to the rows. Rows that tie are numbered in some order; a hot
+    key is split over ranges if the order goes on with columns that differ in it.
     """
-    placed = with_bucket(df, order, order_splits(df, order, buckets))
-    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = W.partitionBy("_bucket").orderBy(order)
-    return (
-        placed.withColumn("_rank", F.row_number().over(local).cast("bigint"))
-        .join(offsets, "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_bucket", "_rank", "_offset")
-    )
+    at, part = f"_{name}_at", f"_{name}_part"
+    spark = df.sparkSession
+    path = scratch_path(spark, "numbered")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn(part, F.shiftright(at, PLACE_BITS))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    # One row per range partition of the shuffle, whatever the table.
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col("_offset") + place).drop(at, part, "_offset")
+
+
+def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
+    """Zero-based position in the order of a unique column."""
+    return numbered(df, order, name=name)

@@ -71,9 +71,9 @@ def with_norm(vectors: DataFrame, column: str = "vector") -> DataFrame:
     return vectors.withColumn("norm", norm(F.col(column)))
 
 
-def with_index(vectors: DataFrame, order: str = "stream_id", buckets: int | None = None) -> DataFrame:
+def with_index(vectors: DataFrame, order: str = "stream_id") -> DataFrame:
     """Zero-based arrival index."""
-    return row_index(vectors, order, "row_index", buckets)
+    return row_index(vectors, order, "row_index")
 
 
 def snapshot(vectors: DataFrame, path: str) -> DataFrame:

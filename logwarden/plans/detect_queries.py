@@ -85,7 +85,7 @@ def vector_dim_check(spark, sf_dir):
     f"""WITH {_STORE} SELECT stream_id, service_name, row_number() OVER (ORDER BY stream_id) - 1 AS row_index FROM store""",
 )
 def vector_index(spark, sf_dir):
-    return vectors.with_index(store(spark, sf_dir), buckets=4).select("stream_id", "service_name", "row_index")
+    return vectors.with_index(store(spark, sf_dir)).select("stream_id", "service_name", "row_index")
 
 
 @query(

@@ -63,8 +63,8 @@ def test_dim_split_and_index(spark):
     )
     good, bad = vectors.split_by_dim(df, 3)
     assert (good.count(), bad.count()) == (37, 13)
-    for buckets in (1, 7):
-        got = vectors.with_index(df.repartition(6), buckets=buckets).collect()
+    for parts in (1, 3, 6):
+        got = vectors.with_index(df.repartition(parts)).collect()
         assert sorted((r["stream_id"], r["row_index"]) for r in got) == [(i * 10, i) for i in range(50)]
 
 
