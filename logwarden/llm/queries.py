@@ -156,3 +156,45 @@ def op5_line_dedup(spark, sf_dir):
     from logwarden.llm import line_dedup
 
     return line_dedup.remove_recurring_lines(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op13_resampling",
+    """
+    WITH crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+                           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+    targets AS (SELECT unnest(regexp_extract_all(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+    per_doc AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(words) AS word FROM docs) GROUP BY r, word),
+    vocabulary AS (SELECT word FROM per_doc UNION SELECT word FROM targets),
+    coded AS (SELECT word, list_transform(range(1, octet_length(encode(word)) + 1),
+                  lambda k: CAST('0x' || substr(hex(encode(word)), 2 * k - 1, 2) AS BIGINT)) AS bytes FROM vocabulary),
+    bucketed AS (SELECT word, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295), 4294967295)
+                     % 10000 AS bucket FROM coded, crc_table),
+    corpus AS (SELECT bucket, sum(n) AS s FROM per_doc JOIN bucketed USING (word) GROUP BY bucket),
+    wanted AS (SELECT bucket, count(*) AS t FROM targets JOIN bucketed USING (word) GROUP BY bucket),
+    totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM corpus) AS s_all, (SELECT coalesce(sum(t), 0) FROM wanted) AS t_all),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS g
+             FROM corpus LEFT JOIN wanted USING (bucket), totals),
+    weighed AS (SELECT r, CAST(floor(sum(n * g)::DOUBLE / sum(n)) AS BIGINT) AS weight
+                FROM per_doc JOIN bucketed USING (word) JOIN gain USING (bucket) GROUP BY r),
+    scored AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                          / 4294967296))) AS BIGINT) AS score
+               FROM docs LEFT JOIN weighed USING (r)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+                      count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank
+    FROM ranked
+    """,
+)
+def op13_resampling(spark, sf_dir):
+    from logwarden.llm import resampling
+
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, percent=10, seed=2024).withColumnRenamed("id", "doc_id")
