@@ -198,3 +198,11 @@ def op13_resampling(spark, sf_dir):
 
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resampling.resample(docs, target, percent=10, seed=2024).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_repair")
+def op11_repair(spark, sf_dir):
+    from logwarden.llm import repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
