@@ -206,3 +206,10 @@ def op11_repair(spark, sf_dir):
 
     rows = table(spark, sf_dir, "conversations")
     return repair.repair(repair.damaged(rows), rows)
+
+
+@query("op12_extraction")
+def op12_extraction(spark, sf_dir):
+    from logwarden.llm import extraction
+
+    return extraction.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
