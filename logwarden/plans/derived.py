@@ -99,6 +99,26 @@ TABLES = {
                WHEN 4 THEN '   '
                ELSE concat('[', CAST(k AS STRING), ', 2]') END AS line
         FROM logs""",
+    # Whole and broken lines of each format; a third is plain text.
+    "format_lines": """
+        SELECT stream_id, service_name, level, k, CASE stream_id % 18
+               WHEN 0 THEN concat('level=', lower(level), ' service=', service_name, ' msg="', message, '" took=', CAST(k AS STRING), 'ms took=', CAST(k + 1 AS STRING), 'ms')
+               WHEN 1 THEN concat('ts=2024-05-01T10:00:', lpad(CAST(k % 60 AS STRING), 2, '0'), 'Z lvl=warn msg="said ', chr(92), '"', service_name, chr(92), '" to c:', chr(92), chr(92), 'temp" empty= ')
+               WHEN 2 THEN concat('level=info msg="never closed ', CAST(k AS STRING))
+               WHEN 3 THEN concat('code=', CAST(k AS STRING), ' and words between=', service_name)
+               WHEN 4 THEN concat('<', CAST(k % 192 AS STRING), '>1 2024-05-01T10:00:', lpad(CAST(k % 60 AS STRING), 2, '0'), '.250+02:00 host', CAST(k AS STRING), ' ', service_name, ' ',
+                    CAST(stream_id AS STRING), ' ID7 [req@9 id="', CAST(k AS STRING), '" path="a', chr(92), ']b"][org@9 unit="x y"] ', message)
+               WHEN 5 THEN concat('<', CAST(k % 192 AS STRING), '>1 - - - - - -')
+               WHEN 6 THEN concat('<', CAST(192 + k % 99 AS STRING), '>1 - - ', service_name, ' - - - ', message)
+               WHEN 7 THEN concat('<13>1 - - ', service_name, ' - - [broken id=', CAST(k AS STRING), '] ', message)
+               WHEN 8 THEN concat('<', CAST(k % 192 AS STRING), '>Nov  5 06:07:', lpad(CAST(k % 60 AS STRING), 2, '0'), ' host', CAST(k AS STRING), ' ', service_name, '[', CAST(stream_id AS STRING), ']: ', message)
+               WHEN 9 THEN concat('Jan 15 06:07:08 host ', service_name, ': [x] ', message)
+               WHEN 10 THEN concat('Feb 30 06:07:08 host ', service_name, ': ', message)
+               WHEN 11 THEN concat('{"service": "', service_name, '", "severity": "err", "msg": "', message, '", "took": ', CAST(k AS STRING), '}')
+               WHEN 12 THEN concat('{"service": "', service_name, '", ')
+               WHEN 13 THEN '   '
+               ELSE message END AS line
+        FROM logs""",
     "log_entries": """
         SELECT stream_id,
                CASE stream_id % 20 WHEN 3 THEN NULL WHEN 4 THEN ' ' ELSE concat(' ', service_name) END AS service_name,
@@ -181,7 +201,7 @@ for _part, _sql in _PARTS.items():
 
 _NEEDS = {
     "base": [], "logs": ["base"], "logs_raw": ["logs"], "json_lines": ["logs"], "lines": ["logs"],
-    "log_entries": ["logs"], "incidents": ["logs"], "incident_entries": ["incidents"], "rca": ["incidents"],
+    "format_lines": ["logs"], "log_entries": ["logs"], "incidents": ["logs"], "incident_entries": ["incidents"], "rca": ["incidents"],
     "rca_entries": ["rca"], "history_entries": ["rca"], "pending_hash": ["rca"], "decisions": ["logs"], "frames": [],
 }
 

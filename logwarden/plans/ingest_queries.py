@@ -8,7 +8,7 @@ from logwarden.functions.text import MASKS
 from logwarden.operators import entries, templates, validation
 from logwarden.plans import derived
 from logwarden.plans.catalog import query
-from logwarden.sources import lines, tables
+from logwarden.sources import formats, lines, tables
 
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _SQL_TIME = "'%Y-%m-%dT%H:%M:%S.%f'"
@@ -18,10 +18,10 @@ def time_text(col):
     return F.date_format(col, _TIME)
 
 
-def map_text(col):
+def map_text(col, by=","):
     """A map as sorted ``key=value`` pairs joined by commas."""
     pairs = F.transform(F.map_entries(col), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return F.array_join(F.array_sort(pairs), ",")
+    return F.array_join(F.array_sort(pairs), by)
 
 
 def _raw_events(spark, sf_dir):
@@ -110,6 +110,57 @@ def shipper_parse(spark, sf_dir):
     return parsed.drop("timestamp")
 
 
+@query(
+    "line_formats",
+    ("format_lines",),
+    r"""
+    , given AS (SELECT stream_id, trim(line) AS line,
+                  replace(replace(replace(trim(line), '\\', chr(1)), '\"', chr(2)), '\]', chr(3)) AS safe FROM format_lines WHERE trim(line) <> ''),
+    parts AS (SELECT *, CASE WHEN json_valid(line) AND line LIKE '{%' THEN line END AS doc,
+                CASE WHEN line NOT LIKE '<%' AND safe LIKE '%=%'
+                      AND regexp_replace(safe, '[A-Za-z_][A-Za-z0-9_./-]*=("[^"]*"|[^\s"]*)(\s+|$)', '', 'g') = '' THEN 1 END AS pairs,
+                regexp_extract(safe, '^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[[^\s="\]]+(?:\s+[^\s="\]]+="[^"]*")*\])+)(?: (.*))?$',
+                               ['pri', 'tm', 'host', 'app', 'proc', 'id', 'sd', 'msg']) AS new,
+                regexp_extract(line, '^(?:<(\d{1,3})>)?(Jan|Feb|Nov) +(\d{1,2}) (\d\d:\d\d:\d\d) (\S+) ([^\s\[\]:]+)(?:\[([^\]\s]*)\])?: ?(.*)$',
+                               ['pri', 'mon', 'day', 'clock', 'host', 'app', 'pid', 'msg']) AS old FROM given),
+    dated AS (SELECT *, try_strptime(concat('2024 ', old.mon, ' ', old.day, ' ', old.clock), '%Y %b %d %H:%M:%S') AS this FROM parts),
+    known AS (SELECT *, CASE WHEN doc IS NOT NULL THEN 'json' WHEN pairs = 1 THEN 'logfmt'
+                WHEN new.app <> '' AND TRY_CAST(new.pri AS INT) <= 191 THEN 'rfc5424'
+                WHEN old.app <> '' AND this IS NOT NULL AND coalesce(TRY_CAST(old.pri AS INT), 0) <= 191 THEN 'rfc3164' ELSE 'text' END AS format,
+                CASE WHEN this > TIMESTAMP '2024-06-16' THEN this - INTERVAL 1 YEAR ELSE this END AS old_time,
+                list_extract(['CRITICAL', 'CRITICAL', 'CRITICAL', 'ERROR', 'WARNING', 'INFO', 'INFO', 'DEBUG'],
+                             1 + coalesce(TRY_CAST(coalesce(nullif(new.pri, ''), nullif(old.pri, '')) AS INT), 6) % 8) AS severity FROM dated)
+    SELECT stream_id, format,
+           CASE format WHEN 'json' THEN json_extract_string(doc, '$.service') WHEN 'rfc5424' THEN coalesce(nullif(new.app, '-'), 'target-app')
+                WHEN 'rfc3164' THEN old.app WHEN 'logfmt' THEN coalesce(nullif(regexp_extract(safe, 'service=(\S+)', 1), ''), 'target-app') ELSE 'target-app' END AS service_name,
+           CASE format WHEN 'json' THEN 'ERROR' WHEN 'text' THEN 'INFO'
+                WHEN 'logfmt' THEN CASE WHEN safe LIKE '%lvl=warn%' THEN 'WARNING' ELSE upper(regexp_extract(safe, 'level=(\S+)', 1)) END
+                ELSE severity END AS level,
+           CASE format WHEN 'json' THEN json_extract_string(doc, '$.msg') WHEN 'rfc3164' THEN old.msg
+                WHEN 'rfc5424' THEN replace(replace(replace(new.msg, chr(3), '\]'), chr(2), '\"'), chr(1), '\\')
+                WHEN 'logfmt' THEN replace(replace(regexp_extract(safe, 'msg="([^"]*)"', 1), chr(2), '"'), chr(1), '\') ELSE line END AS message,
+           CASE WHEN format = 'rfc5424' THEN coalesce(nullif(new.host, '-'), 'docker-target-app') WHEN format = 'rfc3164' THEN old.host ELSE 'docker-target-app' END AS host,
+           CASE WHEN format = 'rfc3164' THEN epoch_ms(old_time) WHEN format = 'rfc5424' AND new.tm <> '-' THEN epoch_ms(TRY_CAST(new.tm AS TIMESTAMPTZ))
+                WHEN format = 'logfmt' AND safe LIKE 'ts=%' THEN epoch_ms(TRY_CAST(regexp_extract(safe, 'ts=(\S+)', 1) AS TIMESTAMPTZ))
+                ELSE epoch_ms(TIMESTAMP '2024-06-15') END AS at_ms,
+           CASE format WHEN 'json' THEN concat('took=', json_extract_string(doc, '$.took'))
+                WHEN 'logfmt' THEN CASE WHEN safe LIKE 'ts=%' THEN 'empty=' ELSE concat('took=', list_last(regexp_extract_all(safe, 'took=(\S+)', 1))) END
+                WHEN 'rfc5424' THEN CASE WHEN new.sd = '-' THEN CASE WHEN new.proc = '-' THEN '' ELSE concat('pid=', new.proc) END
+                     ELSE concat('org@9.unit=', regexp_extract(new.sd, 'unit="([^"]*)"', 1), ';pid=', new.proc, ';req@9.id=', regexp_extract(new.sd, ' id="([^"]*)"', 1),
+                                 ';req@9.path=', replace(regexp_extract(new.sd, 'path="([^"]*)"', 1), chr(3), ']')) END
+                WHEN 'rfc3164' THEN CASE WHEN old.pid <> '' THEN concat('pid=', old.pid) ELSE '' END ELSE '' END AS metadata
+    FROM known""",
+)
+def line_formats(spark, sf_dir):
+    now = F.lit("2024-06-15 00:00:00+00:00").cast("timestamp")
+    given = tables.materialised(derived.table(spark, sf_dir, "format_lines").select("stream_id", "line"), "lines")
+    parsed = formats.parse_formats(given, "line", now)
+    return parsed.select(
+        "stream_id", "format", "service_name", "level", "message", "host",
+        F.unix_millis("timestamp").alias("at_ms"), map_text(F.col("metadata"), ";").alias("metadata"),
+    )
+
+
 @query(
     "entry_serialize",
     ("logs",),
