@@ -37,6 +37,18 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def node_arrays(nodes: pd.DataFrame, trees: int) -> tuple:
+    """feature, threshold, left, right and path of a node table, each as an array [tree, node]."""
+    shape = (trees, int(nodes["node"].max()) + 1)
+    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    out = []
+    for name, kind in (("feature", np.int32), ("threshold", np.float64), ("left", np.int32), ("right", np.int32), ("path", np.float64)):
+        cells = np.full(shape, -1 if name == "feature" else 0, dtype=kind)
+        cells[at] = nodes[name].to_numpy()
+        out.append(cells)
+    return tuple(out)
+
+
 @dataclass
 class ForestModel:
     """Node table of a fitted forest; at most trees * (2 * subsample - 1) rows."""
@@ -55,27 +67,14 @@ class ForestModel:
 
     def arrays(self) -> tuple:
         if self._arrays is None:
-            width = int(self.nodes["node"].max()) + 1
-            shape = (self.trees, width)
-            feature = np.full(shape, -1, dtype=np.int32)
-            threshold = np.zeros(shape, dtype=np.float64)
-            left = np.zeros(shape, dtype=np.int32)
-            right = np.zeros(shape, dtype=np.int32)
-            path = np.zeros(shape, dtype=np.float64)
-            at = (self.nodes["tree"].to_numpy(), self.nodes["node"].to_numpy())
-            for target, name in (
-                (feature, "feature"), (threshold, "threshold"),
-                (left, "left"), (right, "right"), (path, "path"),
-            ):
-                target[at] = self.nodes[name].to_numpy()
-            self._arrays = (feature, threshold, left, right, path)
+            self._arrays = node_arrays(self.nodes, self.trees)
         return self._arrays
 
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         return diagnostics(spark, self)
 
 
-def _hash_unit(*parts: Column) -> Column:
+def hash_unit(*parts: Column) -> Column:
     """Deterministic number in [0, 1) from the given columns."""
     return F.pmod(F.xxhash64(*parts), F.lit(_HASH_SPAN)) / F.lit(float(_HASH_SPAN))
 
@@ -90,7 +89,7 @@ def _subsamples(vectors: DataFrame, key: str, rows: int, trees: int, subsample:
     cut = min(1.0, 2.0 * subsample / rows)
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: _hash_unit(F.col(key), t, F.lit(seed + 1)) < cut,
+        lambda t: hash_unit(F.col(key), t, F.lit(seed + 1)) < cut,
     )
     drawn = vectors.select(key, "vector", F.explode(chosen).alias("tree")).withColumn(
         "draw", F.xxhash64(key, "tree", F.lit(seed + 1))
@@ -99,7 +98,7 @@ def _subsamples(vectors: DataFrame, key: str, rows: int, trees: int, subsample:
     return drawn.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= subsample)
 
 
-def _grow(x: np.ndarray, tree: int, seed: int, limit: int) -> pd.DataFrame:
+def grow(x: np.ndarray, tree: int, seed: int, limit: int) -> pd.DataFrame:
     """One isolation tree over the rows of x, as a node table."""
     rng = np.random.default_rng([seed, tree])
     table: list[list] = []
@@ -159,7 +158,7 @@ def fit(
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", key])
         x = np.stack(group["vector"].to_list()).astype(np.float64)
-        return _grow(x, int(group["tree"].iloc[0]), seed, limit)
+        return grow(x, int(group["tree"].iloc[0]), seed, limit)
 
     nodes = drawn.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     model = ForestModel(nodes, dim, rows, taken, trees, seed, str(contamination))
@@ -172,36 +171,41 @@ def fit(
     return model
 
 
+def raw_scores(arrays: tuple, x: np.ndarray, subsample: int, offset: float = AUTO_OFFSET) -> np.ndarray:
+    """Raw scores of the rows of ``x`` by the trees of a forest (positive is normal, negative anomalous)."""
+    feature, threshold, left, right, path = arrays
+    depth = max(1, math.ceil(math.log2(max(2, subsample))))
+    scale = average_path(subsample)
+    tree = np.arange(feature.shape[0])[None, :]
+    out = np.empty(len(x))
+    for start in range(0, len(x), 1024):
+        part = x[start : start + 1024]
+        row = np.arange(len(part))[:, None]
+        at = np.zeros((len(part), feature.shape[0]), dtype=np.int32)
+        for _ in range(depth):
+            f = feature[tree, at]
+            inner = f >= 0
+            if not inner.any():
+                break
+            value = part[row, np.maximum(f, 0)]
+            step = np.where(value <= threshold[tree, at], left[tree, at], right[tree, at])
+            at = np.where(inner, step, at)
+        depths = path[tree, at].mean(axis=1)
+        out[start : start + 1024] = -np.power(2.0, -depths / scale) - offset
+    return out
+
+
 def score(df: DataFrame, model: ForestModel | None, vector: str = "vector", name: str = "raw_score") -> DataFrame:
     """Add the raw score (positive is normal, negative anomalous); NULL without a model."""
     if model is None:
         return df.withColumn(name, F.lit(None).cast("double"))
     shared = df.sparkSession.sparkContext.broadcast(model.arrays())
-    dim, offset = model.dim, model.offset
-    depth = max(1, math.ceil(math.log2(max(2, model.subsample))))
-    scale = average_path(model.subsample)
+    dim, offset, subsample = model.dim, model.offset, model.subsample
 
     @F.arrow_udf("double")
     def raw(column: pa.Array) -> pa.Array:
-        feature, threshold, left, right, path = shared.value
         x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        tree = np.arange(feature.shape[0])[None, :]
-        out = np.empty(len(x))
-        for start in range(0, len(x), 1024):
-            part = x[start : start + 1024]
-            row = np.arange(len(part))[:, None]
-            at = np.zeros((len(part), feature.shape[0]), dtype=np.int32)
-            for _ in range(depth):
-                f = feature[tree, at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                value = part[row, np.maximum(f, 0)]
-                step = np.where(value <= threshold[tree, at], left[tree, at], right[tree, at])
-                at = np.where(inner, step, at)
-            depths = path[tree, at].mean(axis=1)
-            out[start : start + 1024] = -np.power(2.0, -depths / scale) - offset
-        return pa.array(out)
+        return pa.array(raw_scores(shared.value, x, subsample, offset))
 
     # Marked so that a filter on the score is not moved below and run a second time.
     raw = raw.asNondeterministic()

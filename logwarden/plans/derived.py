@@ -119,6 +119,18 @@ TABLES = {
                WHEN 13 THEN '   '
                ELSE message END AS line
         FROM logs""",
+    # Four features of each event; one in a hundred rows of a service lies far from the others. One
+    # service holds a third of the rows, many have a few.
+    "profiles": """
+        SELECT stream_id, planted,
+               CASE WHEN stream_id % 200 IN (7, 8, 9, 10, 41) THEN concat('rare-', CAST(CAST((stream_id - stream_id % 200) / 200 AS BIGINT) AS STRING))
+                    WHEN stream_id % 3 = 0 THEN 'hot'
+                    ELSE service_name END AS service_name,
+               CAST(stream_id * 7919 % 1009 AS DOUBLE) / 1009 + planted * (4 + stream_id % 7) AS f1,
+               CAST(stream_id * 104729 % 2003 AS DOUBLE) / 2003 + planted * (4 + stream_id % 5) AS f2,
+               CAST(user_id * 31 % 97 AS DOUBLE) / 97 + planted * 6 AS f3,
+               CAST(k AS DOUBLE) / 100 - planted * (5 + stream_id % 3) AS f4
+        FROM (SELECT *, CASE WHEN stream_id % 100 = 41 THEN 1 ELSE 0 END AS planted FROM logs) AS l""",
     "log_entries": """
         SELECT stream_id,
                CASE stream_id % 20 WHEN 3 THEN NULL WHEN 4 THEN ' ' ELSE concat(' ', service_name) END AS service_name,
@@ -201,7 +213,7 @@ for _part, _sql in _PARTS.items():
 
 _NEEDS = {
     "base": [], "logs": ["base"], "logs_raw": ["logs"], "json_lines": ["logs"], "lines": ["logs"],
-    "format_lines": ["logs"], "log_entries": ["logs"], "incidents": ["logs"], "incident_entries": ["incidents"], "rca": ["incidents"],
+    "format_lines": ["logs"], "profiles": ["logs"], "log_entries": ["logs"], "incidents": ["logs"], "incident_entries": ["incidents"], "rca": ["incidents"],
     "rca_entries": ["rca"], "history_entries": ["rca"], "pending_hash": ["rca"], "decisions": ["logs"], "frames": [],
 }
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.scoring import anomaly_score, is_anomaly
 from logwarden.functions.vectors import norm
-from logwarden.operators import context, detection, forest, vectors
+from logwarden.operators import context, detection, forest, rolling, service_forests, vectors
 from logwarden.operators.templates import add_template
 from logwarden.plans import derived
 from logwarden.plans.catalog import query
 from logwarden.plans.ingest_queries import time_text
 from logwarden.session import scratch_path
+from logwarden.sources.tables import materialised
 
 DIM = 64
 
@@ -367,3 +368,49 @@ def score_events(spark, sf_dir):
     return detection.score_events(templated, model).select(
         "stream_id", "service_name", time_text("timestamp").alias("time"), "anomaly_score"
     )
+
+
+@query(
+    "service_outliers",
+    ("profiles",),
+    """SELECT service_name, CASE WHEN count(*) >= 10 THEN 'own' ELSE 'shared' END AS model, count(*) AS scored,
+              CAST(sum(planted) AS BIGINT) AS planted, CASE WHEN sum(planted) > 0 THEN TRUE END AS first
+       FROM profiles GROUP BY service_name""",
+)
+def service_outliers(spark, sf_dir):
+    """Per service the model used, its rows, and whether the planted ones score lower than all others."""
+    features = F.array(*[F.col(f"f{i}").cast("float") for i in range(1, 5)])
+    rows = derived.table(spark, sf_dir, "profiles").select("stream_id", "service_name", "planted", features.alias("vector"))
+    rows = materialised(rows, "profiles")
+    nodes = materialised(service_forests.fit(rows), "forests")
+    scored = service_forests.score(rows, nodes, service_forests.fit_global(rows)).drop("service_name")
+    found = rows.join(scored, "stream_id").groupBy("service_name", "model").agg(
+        F.count("raw_score").alias("scored"),
+        F.sum("planted").alias("planted"),
+        F.max(F.when(F.col("planted") == 1, F.col("raw_score"))).alias("of_planted"),
+        F.min(F.when(F.col("planted") == 0, F.col("raw_score"))).alias("of_others"),
+    )
+    return found.select("service_name", "model", "scored", "planted", (F.col("of_planted") < F.col("of_others")).alias("first"))
+
+
+@query(
+    "rolling_outliers",
+    ("profiles",),
+    """, placed AS (SELECT *, row_number() OVER (ORDER BY stream_id) - 1 AS i FROM profiles),
+       v AS (SELECT (i - i % 1500) / 1500 AS version, planted FROM placed)
+       SELECT CAST(version AS BIGINT) AS version, count(*) AS scored, CAST(sum(planted) AS BIGINT) AS planted,
+              CASE WHEN version = 0 THEN FALSE ELSE TRUE END AS first
+       FROM v GROUP BY version""",
+)
+def rolling_outliers(spark, sf_dir):
+    """Per version of a forest refitted every 1500 rows its rows, and whether planted ones score above all others."""
+    features = F.array(*[F.col(f"f{i}").cast("float") for i in range(1, 5)])
+    rows = materialised(derived.table(spark, sf_dir, "profiles").select("stream_id", "planted", features.alias("vector")), "profiles")
+    scored = rolling.rolling_scores(rows, every=1500, newest=1000)
+    found = rows.join(scored, "stream_id").groupBy("version").agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.sum("planted").alias("planted"),
+        F.min(F.when(F.col("planted") == 1, F.col("anomaly_score"))).alias("of_planted"),
+        F.max(F.when(F.col("planted") == 0, F.col("anomaly_score"))).alias("of_others"),
+    )
+    return found.select("version", "scored", "planted", (F.col("of_planted") > F.col("of_others")).alias("first"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from logwarden.functions import policy
-from logwarden.operators import dedup, entries, feed, rca, recent, remediation
+from logwarden.operators import dedup, entries, feed, rca, recent, remediation, risk_rules
 from logwarden.operators.templates import add_template
 from logwarden.plans import derived
 from logwarden.plans.catalog import query
@@ -449,3 +449,38 @@ def dedup_keep_first(spark, sf_dir):
 )
 def llm_reduction(spark, sf_dir):
     return dedup.call_reduction(templated(spark, sf_dir).filter(F.col("score") > 0.55))
+
+
+_TIERS = (
+    (1, "restart_service", "low", 0.85, None, "LOW"), (2, "scale_up", None, 0.80, None, "LOW"),
+    (3, "restart_service", "high", None, None, "MEDIUM"), (4, "drain_connections", None, 0.75, None, "MEDIUM"),
+    (5, "failover_database", None, None, None, "HIGH"), (6, "rollback_deployment", "production", None, None, "HIGH"),
+    # Overlaps, a range with both ends, a rule for any action, one that is never first.
+    (7, "restart_service", None, 0.10, 0.60, "MEDIUM"), (8, "restart_service", "low", 0.30, 0.50, "HIGH"),
+    (9, None, "low", 0.55, 0.70, "LOW"), (10, None, None, 0.95, None, "CRITICAL"), (11, "scale_up", None, 0.80, None, "HIGH"),
+)
+_TIER_VALUES = ", ".join(
+    "(" + ", ".join("NULL" if x is None else repr(x) for x in rule) + ")" for rule in _TIERS
+)
+_ACTIONS = """SELECT stream_id,
+              CASE stream_id % 7 WHEN 0 THEN 'restart_service' WHEN 1 THEN 'scale_up' WHEN 2 THEN 'restart_service'
+                   WHEN 3 THEN 'drain_connections' WHEN 4 THEN 'failover_database' WHEN 5 THEN 'rollback_deployment' END AS action,
+              CASE user_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'production' END AS criticality,
+              CASE WHEN stream_id % 13 = 0 THEN NULL ELSE CAST(stream_id % 101 AS DOUBLE) / 100 END AS confidence FROM logs"""
+
+
+@query(
+    "risk_tiers",
+    ("logs",),
+    f""", acts AS ({_ACTIONS}),
+       rules(priority, action, criticality, above, up_to, tier) AS (VALUES {_TIER_VALUES}),
+       met AS (SELECT stream_id, r.priority, r.tier, row_number() OVER (PARTITION BY stream_id ORDER BY r.priority, r.tier) AS n
+               FROM acts a JOIN rules r ON (r.action IS NULL OR r.action = a.action) AND (r.criticality IS NULL OR r.criticality = a.criticality)
+                    AND (r.above IS NULL OR a.confidence > r.above) AND (r.up_to IS NULL OR a.confidence <= r.up_to))
+       SELECT a.stream_id, m.tier AS risk_tier, CAST(m.priority AS BIGINT) AS risk_rule FROM acts a LEFT JOIN met m ON a.stream_id = m.stream_id AND n = 1""",
+)
+def risk_tiers(spark, sf_dir):
+    logs = derived.table(spark, sf_dir, "logs")
+    acts = spark.sql(_ACTIONS.replace("FROM logs", "FROM {logs}"), logs=logs)
+    rules = spark.createDataFrame(_TIERS, risk_rules.RULES)
+    return risk_rules.assign(acts, rules).select("stream_id", "risk_tier", "risk_rule")

@@ -52,9 +52,10 @@ VECTORS = (
 STORED = VECTORS + ", metadata MAP<STRING, STRING>"
 
 
-def _start(
+def start_batches(
     df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], available_now: bool
 ) -> StreamingQuery:
+    """Run ``handle`` on every micro-batch, over what has arrived or at intervals."""
     writer = df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": INTERVAL}
     return writer.trigger(**trigger).start()
@@ -86,7 +87,7 @@ def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -
         write_once(rejected(batch), f"{base}/rejected", batch_id)
 
     make_folder(validated.sparkSession, f"{base}/telemetry")
-    return _start(validated, f"{base}/_checkpoints/ingest", handle, available_now)
+    return start_batches(validated, f"{base}/_checkpoints/ingest", handle, available_now)
 
 
 def _ring_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
@@ -189,7 +190,7 @@ def start_detect(
         write_once(detection.incident_rows(flagged, threshold, detected_at), f"{base}/incidents", batch_id)
 
     make_folder(spark, f"{base}/incidents")
-    return _start(logs, f"{base}/_checkpoints/detect", handle, available_now)
+    return start_batches(logs, f"{base}/_checkpoints/detect", handle, available_now)
 
 
 def start_analyse(
@@ -215,7 +216,7 @@ def start_analyse(
         write_once(rca.failures(answers), f"{base}/rca_failed", batch_id)
 
     make_folder(spark, f"{base}/rca")
-    return _start(incidents, f"{base}/_checkpoints/analyse", handle, available_now)
+    return start_batches(incidents, f"{base}/_checkpoints/analyse", handle, available_now)
 
 
 def start_remediate(
@@ -231,7 +232,7 @@ def start_remediate(
         write_once(remediation.notifications(planned), f"{base}/outbox", batch_id)
 
     make_folder(reports.sparkSession, f"{base}/pending")
-    return _start(reports, f"{base}/_checkpoints/remediate", handle, available_now)
+    return start_batches(reports, f"{base}/_checkpoints/remediate", handle, available_now)
 
 
 def start_decide(
@@ -252,7 +253,7 @@ def start_decide(
 
     make_folder(spark, f"{base}/decided")
     outcomes = approvals.decision_outcomes(pending, decisions)
-    return _start(outcomes, f"{base}/_checkpoints/decide", handle, available_now)
+    return start_batches(outcomes, f"{base}/_checkpoints/decide", handle, available_now)
 
 
 def open_actions(spark: SparkSession, base: str) -> DataFrame:
