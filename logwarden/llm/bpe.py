@@ -13,8 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces of text whose tokens a task remembers.
-CACHE_PIECES = 300_000
+from logwarden.llm.common import share
+
+#: Pieces of text, and words, whose tokens a task remembers; one takes about 200 bytes.
+CACHE_PIECES = 150_000
 #: The pattern of byte-level pre-tokenisation; fixed value, L, N and S stand for the classes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{s}{l}{n}]+|{S}+(?!{notS})|{S}+"
 #: A line feed with text on both sides is a piece of its own, and a space there starts a new one.
@@ -357,23 +359,22 @@ def load(path: str) -> Vocabulary:
 class Coder:
     """Encodes and decodes texts, remembering the tokens of words and pieces.
 
-    A piece has its ids, the ids as text with a comma before each, and the bytes they
-    decode to. Pieces are encoded on their own, so what a text encodes and decodes to is
-    what its pieces give in a row.
+    Tokens are kept as text with a comma before each id. Pieces are encoded on their own,
+    so what a text encodes to is what its pieces give in a row. Where the ids of every word
+    decode to the word, which is compared when a word is learned, a text decodes to itself.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.first: dict[str, tuple] = {}  # pieces without their space before
-        self.later: dict[str, tuple] = {}
-        self.special = {t: self._piece((i,)) for t, i in vocabulary.special.items()}
+        self.words: dict[str, str] = {}
+        self.first: dict[str, str] = {}  # pieces without their space before
+        self.later: dict[str, str] = {}
+        self.shown = {i: f",{i}" for i in vocabulary.bytes}
+        self.special = {t: self.shown[i] for t, i in vocabulary.special.items()}
+        self.exact = all(vocabulary.bytes[i] == t.encode() for t, i in vocabulary.special.items())
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def _piece(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
-        return ids, "".join([f",{i}" for i in ids]), b"".join([self.v.bytes[i] for i in ids])
-
     def _learn(self, pieces: set, known: dict, lead: str) -> None:
         new = list(pieces.difference(known))
         if len(known) + len(new) > CACHE_PIECES:
@@ -388,12 +389,17 @@ class Coder:
         if len(self.words) + len(fresh) > CACHE_PIECES:
             self.words.clear()
             fresh = list({w for s in split for w in s})
-        self.words.update(zip(fresh, v.encode_words([w.encode() for w in fresh])))
+        raw = [w.encode() for w in fresh]
+        shown, letters = self.shown, v.bytes
+        for w, data, ids in zip(fresh, raw, v.encode_words(raw)):
+            self.words[w] = "".join([shown[i] for i in ids])
+            self.exact = self.exact and b"".join([letters[i] for i in ids]) == data
+        words = self.words
         for p, s in zip(new, split):
-            known[p] = self._piece(self.words[s[0]] if len(s) == 1 else tuple([t for w in s for t in self.words[w]]))
+            known[p] = words[s[0]] if len(s) == 1 else "".join([words[w] for w in s])
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """The pieces of each text, encoded."""
+    def encode_batch(self, texts: list[str]) -> Iterator[str]:
+        """The ids of each text, a comma before each."""
         cut = []
         for t in texts:
             parts = self.specials.split(t) if self.specials else [t]
@@ -403,7 +409,7 @@ class Coder:
         self._learn({p for x in lines for p in x[1:]}, self.later, " ")
         feed, first, later = self.first["\n"], self.first, self.later
         for parts in cut:
-            out: list[tuple] = []
+            out: list[str] = []
             for s in parts:
                 if isinstance(s, str):
                     out.append(self.special[s])
@@ -413,22 +419,23 @@ class Coder:
                         out.append(feed)
                     out.append(first[x[0]])
                     out += [later[p] for p in x[1:]]
-            yield out
+            yield "".join(out)
 
+    def decode(self, ids: str, text: str) -> str:
+        """Text that the ids of ``text`` decode to; bytes that aren't UTF-8 are replaced."""
+        if self.exact:
+            return text
+        return b"".join([self.v.bytes[i] for i in ids_of(ids)]).decode("utf-8", errors="replace")
 
-def ids_of(pieces: list[tuple]) -> list[int]:
-    """Token ids of an encoded text."""
-    return [i for p in pieces for i in p[0]]
 
-
-def decode(pieces: list[tuple]) -> str:
-    """Text that the ids of an encoded text decode to; bytes that aren't UTF-8 are replaced."""
-    return b"".join([p[2] for p in pieces]).decode("utf-8", errors="replace")
+def ids_of(ids: str) -> list[int]:
+    """Token ids of an encoded text."""
+    return [int(i) for i in ids[1:].split(",")] if ids else []
 
 
 SCHEMA = "id long, ids array<int>, decoded string"
 #: Texts that are cut and learned together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -448,7 +455,7 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 def _over(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[tuple[str, pa.DataType]], ddl: str, row):
     """Run ``row`` on the encoded pieces of every text."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(load(path))
+    vocabulary = share(spark, load(path))
     schema = pa.schema([("id", pa.int64()), *fields])
 
     def work(batches):
@@ -456,7 +463,7 @@ def _over(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[t
         names = [n for n, _ in fields]
         for batch in batches:
             for start, texts in _batches(batch.column(1)):
-                rows = [row(x) for x in coder.encode_batch(texts)]
+                rows = [row(coder, x, text) for x, text in zip(coder.encode_batch(texts), texts)]
                 columns = [pa.array([r[k] for r in rows], type=t) for k, (_, t) in enumerate(fields)]
                 ids = batch.column(0).slice(start, len(texts)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, *columns], schema=pa.schema([schema.field(0), *[schema.field(n) for n in names]]))
@@ -467,14 +474,14 @@ def _over(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[t
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and the ids of its whole text (null and empty texts: none)."""
     return _over(
-        docs, path, id_col, text_col, [("ids", pa.list_(pa.int32()))], "id long, ids array<int>", lambda x: (ids_of(x),)
+        docs, path, id_col, text_col, [("ids", pa.list_(pa.int32()))], "id long, ids array<int>", lambda coder, x, text: (ids_of(x),)
     )
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, the ids of its whole text and the text they decode to."""
     fields = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-    return _over(docs, path, id_col, text_col, fields, SCHEMA, lambda x: (ids_of(x), decode(x)))
+    return _over(docs, path, id_col, text_col, fields, SCHEMA, lambda coder, x, text: (ids_of(x), coder.decode(x, text)))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,9 +492,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
-    def row(pieces):
-        joined = "".join([p[1] for p in pieces])[1:].encode()
-        decoded = decode(pieces).encode()
-        return sum([len(p[0]) for p in pieces]), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def row(coder, ids, text):
+        decoded = coder.decode(ids, text).encode()
+        return ids.count(","), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     return _over(docs, path, id_col, text_col, fields, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Values that operators have sent to the executors and that no written result needs any more.
+_SHARED: list[Broadcast] = []
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """Send a value of bounded size to the executors; see :func:`release`."""
+    sent = spark.sparkContext.broadcast(value)
+    _SHARED.append(sent)
+    return sent
+
+
+def release() -> None:
+    """Drop the executors' copies of all shared values, once what was computed with them is written.
+
+    The driver keeps them: a plan that is run again sends them again.
+    """
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null becomes the empty string."""
     text = F.coalesce(text, F.lit(""))

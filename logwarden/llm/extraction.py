@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm import dom, labelled_pages
+from logwarden.llm.common import share
 
 #: A feature takes part if so many nodes of the labelled pages have it.
 MIN_NODES = 3
@@ -197,7 +198,7 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
     or deep. Repeated rows and null ids stay; other columns are not read.
     """
     fitted = fit() if model is None else model
-    shared = pages.sparkSession.sparkContext.broadcast(fitted)
+    shared = share(pages.sparkSession, fitted)
 
     def runs(column: pa.Array):
         run, held = [], 0

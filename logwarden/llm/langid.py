@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import written
+from logwarden.llm.common import share, written
 
 #: Scripts by the first code point of their ranges; fixed values of the Unicode blocks.
 SCRIPTS = (
@@ -230,7 +230,7 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def _over(docs: DataFrame, model: Model, id_col: str, text_col: str, ddl: str, types: list[pa.DataType], row) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     names = ["id", *[f"c{k}" for k in range(len(types))]]
 
     def work(batches):
@@ -286,7 +286,7 @@ def labelled(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: st
     Rejected are texts without a letter, and texts of which no learned language labels
     that share of the words: mixtures without a main language and unknown scripts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def work(batches):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import private, written
+from logwarden.llm.common import private, share, written
 from logwarden.operators.ordering import numbered
 
 BUCKETS = 10_000
@@ -198,7 +198,7 @@ def weights(
 ) -> DataFrame:
     """One row per input row: id, n_words, n_features, weight (floored mean gain; 0 without features)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(gain)  # 8 bytes a bucket
+    shared = share(spark, gain)  # 8 bytes a bucket
 
     def work(batches):
         of = shared.value

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import small
+from logwarden.llm.common import share, small
 
 #: Hash buckets of the n-grams, and their lengths in bytes.
 BUCKETS, SIZES = 1 << 19, (3, 4, 5)
@@ -169,7 +169,7 @@ def _regress(table: pa.Table, scale: np.ndarray, size: np.ndarray) -> Model:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and the score of its whole text (null counts as empty), 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def work(batches):
         for batch in batches:
