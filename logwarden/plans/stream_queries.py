@@ -14,7 +14,7 @@ from logwarden.plans.respond_queries import _DECIDED, sample_analyser
 from logwarden.schemas import INCIDENTS, LOGS, RCA
 from logwarden.session import scratch_path
 from logwarden.sources.tables import latest_by_key
-from logwarden.streaming import approvals, files, stages, windows
+from logwarden.streaming import approvals, files, keyed, stages, windows
 
 
 def _ingest(spark, sf_dir):
@@ -109,9 +109,7 @@ def stream_detect(spark, sf_dir):
     """Ingest and detect: the model trains itself once enough vectors are stored."""
     base = _ingest(spark, sf_dir)
     telemetry = files.read_stream(spark, f"{base}/telemetry", LOGS)
-    stages.start_detect(
-        telemetry, base, detected_at=F.lit(0.0), available_now=True
-    ).awaitTermination()
+    stages.detect_available(telemetry, base, detected_at=F.lit(0.0))
     found = files.read_all(spark, f"{base}/incidents", INCIDENTS)
     return found.select("incident_id", "service_name", "normalized_message", "anomaly_score", "context_window_size")
 
@@ -127,7 +125,7 @@ def detect_parity(spark, sf_dir):
     base = scratch_path(spark, "parity")
     logs.write.parquet(f"{base}/in")
     rows = spark.readStream.schema(logs.schema).parquet(f"{base}/in")
-    stages.start_detect(rows, base, threshold=0.45, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    stages.detect_available(rows, base, threshold=0.45, detected_at=F.lit(0.0))
     streamed = files.read_all(spark, f"{base}/incidents", INCIDENTS).select("incident_id", F.round("anomaly_score", 6).alias("score"))
     whole = spark.read.schema(logs.schema).parquet(f"{base}/in")
     batch = detection.detect(whole, threshold=0.45, detected_at=F.lit(0.0)).select(
@@ -180,3 +178,70 @@ def stream_chain(spark, sf_dir):
         spark, validate_json(lines, "line"), base, sample_analyser, detected_at=F.lit(0.0)
     )
     return stages.stage_lengths(spark, base)
+
+
+@query(
+    "stream_context",
+    ("logs",),
+    """, r AS (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY stream_id) AS n FROM logs)
+       SELECT concat('incident-', CAST(i.stream_id AS VARCHAR)) AS incident_id, i.service_name, i.score AS anomaly_score,
+              CAST(least(i.n, 5) AS BIGINT) AS context_window_size,
+              (SELECT string_agg(concat(CAST(c.stream_id AS VARCHAR), ' ', c.level, ' ', c.message), chr(10) ORDER BY c.n) FROM r c
+               WHERE c.service_name = i.service_name AND c.n BETWEEN i.n - 4 AND i.n) AS context
+       FROM r i WHERE i.score > 0.55""",
+)
+def stream_context(spark, sf_dir):
+    """Context of anomalous rows from keyed state, over several micro-batches."""
+    base = scratch_path(spark, "context")
+    rows = derived.logs(spark, sf_dir).select(
+        "stream_id", "service_name", "timestamp", "level", "message", "metadata",
+        F.lit("").alias("normalized_message"), F.col("score").alias("anomaly_score"),
+    )
+    # Ids grow from batch to batch: ranges of ids in files that are read one at a time.
+    third = rows.agg(F.max("stream_id")).first()[0] // 3 + 1
+    for part in range(3):
+        rows.filter(F.floor(F.col("stream_id") / third) == part).write.parquet(f"{base}/in/part={part}")
+        stream = files.read_stream(spark, f"{base}/in", keyed.SCORED)
+        stages.start_context(stream, base, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    found = files.read_all(spark, f"{base}/incidents", INCIDENTS)
+    shown = F.transform("context_window", lambda f: F.concat_ws(" ", f["stream_id"], f["level"], f["message"]))
+    return found.select("incident_id", "service_name", "anomaly_score", "context_window_size", F.array_join(shown, "\n").alias("context"))
+
+
+_HELD = """SELECT incident_id, service_name, 'restart_daemon' AS action_id, 'HIGH' AS risk_level, concat('run ', service_name) AS target_command,
+           CAST(1700000000 + stream_id AS DOUBLE) AS held_at FROM incidents"""
+# Each held action gets an early, a late or no decision, and some two; times are in whole seconds.
+_ASKED = """SELECT incident_id, stream_id * 10 AS decision_id, CASE WHEN stream_id % 2 = 0 THEN 'approve' ELSE 'deny' END AS decision,
+            CAST(1700000000 + stream_id + CASE stream_id % 5 WHEN 0 THEN 30 WHEN 1 THEN 60 WHEN 2 THEN 61 ELSE 90 END AS DOUBLE) AS decided_at
+            FROM incidents WHERE stream_id % 5 < 4
+            UNION ALL SELECT incident_id, stream_id * 10 + 1, 'approve', CAST(1700000000 + stream_id + 45 AS DOUBLE) FROM incidents WHERE stream_id % 3 = 0
+            UNION ALL SELECT concat(incident_id, '-none'), stream_id * 10 + 2, 'deny', CAST(1700000000 + stream_id AS DOUBLE) FROM incidents WHERE stream_id % 7 = 0"""
+
+
+@query(
+    "stream_expiry",
+    ("incidents",),
+    f""", held AS ({_HELD}), asked AS ({_ASKED}),
+       first AS (SELECT a.incident_id, min(decision_id) AS decision_id FROM asked a JOIN held h ON a.incident_id = h.incident_id AND decided_at <= held_at + 60 GROUP BY a.incident_id),
+       newest AS (SELECT greatest((SELECT max(held_at) FROM held), (SELECT max(decided_at) FROM asked)) AS at)
+       SELECT a.incident_id, CAST(a.decision_id AS BIGINT) AS decision_id, a.decision, a.decided_at, f.decision_id IS NOT NULL AS found,
+              CASE WHEN f.decision_id IS NOT NULL THEN h.target_command END AS target_command
+       FROM asked a LEFT JOIN first f ON a.incident_id = f.incident_id AND a.decision_id = f.decision_id LEFT JOIN held h ON a.incident_id = h.incident_id
+       UNION ALL
+       SELECT h.incident_id, NULL, 'expired', held_at + 60, TRUE, h.target_command FROM held h, newest
+       WHERE h.incident_id NOT IN (SELECT incident_id FROM first) AND held_at + 60 <= newest.at - 600""",
+)
+def stream_expiry(spark, sf_dir):
+    """Decisions in time, decisions too late, and actions that expire undecided."""
+    base = scratch_path(spark, "expiry")
+    incidents = derived.table(spark, sf_dir, "incidents")
+    for name, sql in (("held", _HELD), ("asked", _ASKED)):
+        spark.sql(sql.replace("FROM incidents", "FROM {incidents}"), incidents=incidents).write.parquet(f"{base}/{name}")
+
+    def source(name):
+        return spark.readStream.schema(spark.read.parquet(f"{base}/{name}").schema).parquet(f"{base}/{name}")
+
+    stages.start_decide(source("held"), source("asked"), base, True, ttl_s=60.0).awaitTermination()
+    return files.read_all(spark, f"{base}/decided", approvals.OUTCOME).select(
+        "incident_id", "decision_id", "decision", "decided_at", "found", "target_command"
+    )

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.functions.scoring import check_threshold, is_anomaly
-from logwarden.operators import context, detection, forest, rca, remediation, vectors
-from logwarden.operators.ordering import order_splits
+from logwarden.operators import detection, forest, rca, remediation, vectors
 from logwarden.operators.templates import add_template
 from logwarden.operators.validation import accepted, rejected
 from logwarden.schemas import (
@@ -30,10 +29,9 @@ from logwarden.schemas import (
     TRAIN_THRESHOLD,
     VECTOR_DIM,
 )
-from logwarden.streaming import approvals
+from logwarden.streaming import approvals, keyed
 from logwarden.streaming.files import (
     batch_done,
-    exists,
     make_folder,
     read_all,
     read_stream,
@@ -42,8 +40,6 @@ from logwarden.streaming.files import (
 
 # Micro-batch interval of a running stage; tests and drains use available_now.
 INTERVAL = "500 milliseconds"
-# The context ring is rewritten in full once in this many batches.
-RING_COMPACTION = 20
 
 VECTORS = (
     "stream_id BIGINT, service_name STRING, log_level STRING, timestamp TIMESTAMP, "
@@ -90,31 +86,20 @@ def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -
     return start_batches(validated, f"{base}/_checkpoints/ingest", handle, available_now)
 
 
-def _ring_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Newest rows per service before a batch, from the last full ring onwards."""
-    first = max(0, batch_id - 1) // RING_COMPACTION * RING_COMPACTION
-    paths = [f"{path}/batch_id={i}" for i in range(first, batch_id)]
-    paths = [p for p in paths if exists(spark, p)]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return context.ring_buffer(spark.read.schema(schema).parquet(*paths), CONTEXT_RING)
-
-
 def start_detect(
     logs: DataFrame,
     base: str,
     encoder=None,
     threshold: float = ANOMALY_THRESHOLD,
-    window_size: int = CONTEXT_WINDOW,
     train_threshold: int = TRAIN_THRESHOLD,
-    detected_at: Column | None = None,
     available_now: bool = False,
     dim: int = VECTOR_DIM,
 ) -> StreamingQuery:
-    """Logs to ``incidents``; keeps ``vectors``, ``model`` and ``ring`` below ``base``.
+    """Logs to ``scored``; keeps ``vectors`` and ``model`` below ``base``. ``start_context`` goes on from there.
 
     Rows whose vector has not ``dim`` components go to ``vectors_rejected`` as well. They
-    neither train nor are scored, but stay in the context of others.
+    neither train nor are scored, but stay in the context of others. Scores up to the
+    threshold are not kept apart: they are 0.0.
 
     The forest is trained once, when ``train_threshold`` vectors are stored, on the rows
     with the smallest ids, and the same ids as in batch stay unscored. Batches before
@@ -138,7 +123,7 @@ def start_detect(
         return model
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch_done(spark, f"{base}/incidents", batch_id):
+        if batch_done(spark, f"{base}/scored", batch_id):
             return
         own = batch.select(*columns)
         encoded = vectors.encode(add_template(own), encoder=encoder).select(
@@ -157,13 +142,6 @@ def start_detect(
         write_once(unusable, f"{base}/vectors_rejected", batch_id)
         model = trained(batch_id)
 
-        own = rows.select(*columns)
-        ring = _ring_before(spark, f"{base}/ring", batch_id, own.schema)
-        last = context.ring_buffer(own, CONTEXT_RING)
-        if batch_id % RING_COMPACTION == 0:
-            last = context.ring_buffer(ring.unionByName(last), CONTEXT_RING)
-        write_once(last, f"{base}/ring", batch_id)
-
         if model is None:
             scored = rows.withColumn("anomaly_score", F.lit(0.0))
         else:
@@ -180,19 +158,37 @@ def start_detect(
             if model.first_id is not None:
                 late = F.col("stream_id") >= F.lit(model.first_id)
                 scored = scored.withColumn("anomaly_score", F.when(late, F.col("anomaly_score")).otherwise(F.lit(0.0)))
-        marked = scored.withColumn("_own", F.lit(True)).unionByName(
-            ring.withColumn("_own", F.lit(False)), allowMissingColumns=True
-        )
-        framed = context.context_frames(
-            marked, detection.frame_struct(), window_size, splits=order_splits(own, "stream_id")
-        )
-        flagged = framed.filter(F.col("_own") & is_anomaly(F.col("anomaly_score"), threshold))
-        write_once(detection.incident_rows(flagged, threshold, detected_at), f"{base}/incidents", batch_id)
+        scored = scored.withColumn("anomaly_score", F.coalesce("anomaly_score", F.lit(0.0)))
+        write_once(scored.select(*keyed.SCORED_NAMES), f"{base}/scored", batch_id)
 
-    make_folder(spark, f"{base}/incidents")
+    make_folder(spark, f"{base}/scored")
     return start_batches(logs, f"{base}/_checkpoints/detect", handle, available_now)
 
 
+def start_context(
+    scored: DataFrame, base: str, threshold: float = ANOMALY_THRESHOLD, window_size: int = CONTEXT_WINDOW,
+    detected_at: Column | None = None, available_now: bool = False,
+) -> StreamingQuery:
+    """Scored rows to ``incidents`` with the last rows of their service, which are kept as keyed state."""
+    flagged = keyed.contexts(scored, detection.frame_struct(), is_anomaly(F.col("anomaly_score"), threshold), window_size, CONTEXT_RING)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_once(detection.incident_rows(batch, threshold, detected_at), f"{base}/incidents", batch_id)
+
+    make_folder(scored.sparkSession, f"{base}/incidents")
+    return start_batches(flagged, f"{base}/_checkpoints/context", handle, available_now)
+
+
+def detect_available(
+    logs: DataFrame, base: str, threshold: float = ANOMALY_THRESHOLD, window_size: int = CONTEXT_WINDOW,
+    detected_at: Column | None = None, max_files_per_trigger: int | None = None, **options,
+) -> None:
+    """Run detection and context over what has arrived, then stop."""
+    start_detect(logs, base, threshold=threshold, available_now=True, **options).awaitTermination()
+    scored = read_stream(logs.sparkSession, f"{base}/scored", keyed.SCORED, max_files_per_trigger)
+    start_context(scored, base, threshold, window_size, detected_at, True).awaitTermination()
+
+
 def start_analyse(
     incidents: DataFrame,
     base: str,
@@ -237,12 +233,13 @@ def start_remediate(
 
 def start_decide(
     pending: DataFrame, decisions: DataFrame, base: str, available_now: bool = False,
-    outcome: remediation.Outcome | None = None,
+    outcome: remediation.Outcome | None = None, ttl_s: float | None = None,
 ) -> StreamingQuery:
     """Decisions on held actions to ``decided`` and ``history_decided``.
 
     The first decision releases an action; outcomes are written before history is
-    derived from them.
+    derived from them. With ``ttl_s`` actions expire that long after their ``held_at``, see
+    ``keyed.expiring_outcomes``.
     """
     spark = pending.sparkSession
 
@@ -252,7 +249,10 @@ def start_decide(
         write_once(approvals.history_of(outcomes, outcome), f"{base}/history_decided", batch_id)
 
     make_folder(spark, f"{base}/decided")
-    outcomes = approvals.decision_outcomes(pending, decisions)
+    if ttl_s is None:
+        outcomes = approvals.decision_outcomes(pending, decisions)
+    else:
+        outcomes = keyed.expiring_outcomes(pending, decisions, ttl_s)
     return start_batches(outcomes, f"{base}/_checkpoints/decide", handle, available_now)
 
 
@@ -280,7 +280,7 @@ def drain(
     def source(name: str, schema: str) -> DataFrame:
         return read_stream(spark, f"{base}/{name}", schema, max_files_per_trigger)
 
-    start_detect(source("telemetry", LOGS), base, available_now=True, **detect_options).awaitTermination()
+    detect_available(source("telemetry", LOGS), base, max_files_per_trigger=max_files_per_trigger, **detect_options)
     start_analyse(
         source("incidents", INCIDENTS), base, make_analyser, available_now=True, backoff_s=0.0
     ).awaitTermination()

@@ -44,7 +44,7 @@ def test_detect_matches_batch(spark, sf, parts):
     model = forest.fit(vectors.encode(add_template(logs)))
     forest.save(spark, model, f"{base}/model", 1)
     stream = files.read_stream(spark, folder, LOGS, 1)
-    stages.start_detect(stream, base, threshold=0.42, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    stages.detect_available(stream, base, threshold=0.42, detected_at=F.lit(0.0))
     got = shape(files.read_all(spark, f"{base}/incidents", detection_schema()))
     want = shape(detection.detect(logs, model=model, threshold=0.42, detected_at=F.lit(0.0), buckets=3))
     assert got == want and got
@@ -58,7 +58,7 @@ def test_detect_trains_itself_as_in_batch(spark, sf, parts):
     folder, base = scratch_path(spark, "in"), scratch_path(spark, "out")
     logs = write_files(spark, sf, folder, parts)
     stream = files.read_stream(spark, folder, LOGS, 1)
-    stages.start_detect(stream, base, threshold=0.42, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+    stages.detect_available(stream, base, threshold=0.42, detected_at=F.lit(0.0))
     got = shape(files.read_all(spark, f"{base}/incidents", detection_schema()))
     assert got == shape(detection.detect(logs, threshold=0.42, detected_at=F.lit(0.0))) and got
 
@@ -67,7 +67,7 @@ def test_vectors_of_the_wrong_length_are_set_aside(spark, sf):
     folder, base = scratch_path(spark, "in"), scratch_path(spark, "out")
     logs = write_files(spark, sf, folder, 1)
     stream = files.read_stream(spark, folder, LOGS, 1)
-    stages.start_detect(stream, base, threshold=0.42, available_now=True, dim=7).awaitTermination()
+    stages.detect_available(stream, base, threshold=0.42, dim=7)
     assert files.read_all(spark, f"{base}/vectors_rejected", stages.VECTORS).count() == logs.count()
     assert files.read_all(spark, f"{base}/incidents", detection_schema()).count() == 0
     assert forest.load(spark, f"{base}/model") is None
@@ -85,7 +85,7 @@ def test_restart_repeats_nothing(spark, sf):
 
     def run():
         stream = files.read_stream(spark, folder, LOGS, 1)
-        stages.start_detect(stream, base, threshold=0.42, detected_at=F.lit(0.0), available_now=True).awaitTermination()
+        stages.detect_available(stream, base, threshold=0.42, detected_at=F.lit(0.0))
         return shape(files.read_all(spark, f"{base}/incidents", detection_schema()))
 
     first = run()
@@ -193,3 +193,39 @@ def test_dedup_spans_batches(spark):
     )
     got = sorted(r["normalized_message"] for r in spark.read.schema(schema).parquet(f"{base}/out").collect())
     assert got == ["t0", "t1", "t2", "t3", "t4"]
+
+
+def test_held_actions_expire(spark):
+    """Actions, decisions in and out of time, several of one action, over two batches."""
+    from random import Random
+
+    from logwarden.streaming import approvals
+
+    r = Random(6)
+    held = [(f"i{k}", "s", "act", "HIGH", f"cmd{k}", 1000.0 + k) for k in range(40)] + [("timeless", "s", "act", "HIGH", "cmd", None)]
+    asked = [(f"i{r.randint(0, 45)}", n, "approve", 1000.0 + r.randint(0, 160)) for n in range(120)]
+    asked += [("timeless", 900, "deny", 1e6), (None, 901, "deny", 1.0), ("i1", 902, "deny", None)]
+    held_type = "incident_id string, service_name string, action_id string, risk_level string, target_command string, held_at double"
+    asked_type = "incident_id string, decision_id bigint, decision string, decided_at double"
+    base = scratch_path(spark, "expiry")
+    spark.createDataFrame(held, held_type).coalesce(1).write.parquet(f"{base}/held")
+
+    def run(name, rows):
+        spark.createDataFrame(rows, asked_type).coalesce(1).write.parquet(f"{base}/asked/{name}")
+        streams = [files.read_stream(spark, f"{base}/{n}", t) for n, t in (("held", held_type), ("asked", asked_type))]
+        stages.start_decide(*streams, base, True, ttl_s=60.0).awaitTermination()
+        return files.read_all(spark, f"{base}/decided", approvals.OUTCOME).collect()
+
+    got = run("a", asked)
+    ends = {i: (1e300 if at is None else at + 60) for i, *_, at in held}
+    first = {}
+    for i, n, _, at in asked:
+        if i in ends and (at is not None and at <= ends[i]):
+            first[i] = min(n, first.get(i, n))
+    assert {(g["incident_id"], g["decision_id"]) for g in got if g["found"] and g["decision_id"] is not None} == set(first.items())
+    assert len([g for g in got if g["decision_id"] is not None]) == len(asked)
+    # The deciding event at 1e6 lets all others expire; a decision that comes after that finds nothing.
+    expired = {g["incident_id"] for g in got if g["decision"] == "expired"}
+    assert expired == set(ends) - set(first)
+    later = run("b", [(next(iter(expired)), 1_000, "approve", 2e6)])
+    assert [g["found"] for g in later if g["decision_id"] == 1_000] == [False]
