@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import small, written
 from logwarden.llm.substring_dedup import _chosen
 
-#: Leading tokens that, after the token count, lead to a leaf of the tree.
+#: Leading tokens that, after the token count, lead to a leaf of the tree; a line without more is taken as it is.
 DEPTH = 3
-#: Lines with fewer tokens have no template; a template recurs in at least so many documents.
-MIN_TOKENS, MIN_DOCS = 3, 3
-#: Share of its tokens that a template keeps at least; those that hold a digit are none of them.
-CONSTANT = 0.5
+#: A template recurs in at least so many documents.
+MIN_DOCS = 3
+#: Of the tokens behind its path a template keeps at least this share, and this many unless it keeps
+#: all; those that hold a digit are none of them. The path is the leaf's, so it says nothing.
+CONSTANT, MIN_KEPT = 0.5, 2
 #: Share of the documents of a leaf from which on a token is a constant, whatever the leaf's size.
 COMMON = 0.1
 #: Tokens that a task hands on at once.
@@ -33,12 +34,15 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def tokens_of(line: bytes, constant: float = CONSTANT) -> tuple[list[bytes], bool]:
+def tokens_of(line: bytes, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[list[bytes], bool]:
     """Tokens of a line, those that hold digits generalised, and whether the line is taken as it is.
 
-    As it is, without a field, goes a line whose other tokens are less than ``constant`` of all.
+    As it is, without a field, goes a line of at most ``depth`` tokens, and one whose other
+    tokens are less than ``constant`` of all.
     """
     tokens = line.split()
+    if len(tokens) <= depth:
+        return [b"=" + t for t in tokens], True
     if _DIGIT.search(line):
         shown = [FIELD if _DIGIT.search(t) else t for t in tokens]
         if len(tokens) - shown.count(FIELD) < constant * len(tokens):
@@ -50,10 +54,10 @@ def tokens_of(line: bytes, constant: float = CONSTANT) -> tuple[list[bytes], boo
 def place(line: bytes, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[int, int] | None:
     """(leaf, line): hashes of the path to the line's leaf and of its generalised tokens.
 
-    A line that is taken as it is has a leaf of its own.
+    A line that is taken as it is has a leaf of its own; a blank line has none.
     """
-    tokens, whole = tokens_of(line, constant)
-    if len(tokens) < MIN_TOKENS:
+    tokens, whole = tokens_of(line, depth, constant)
+    if not tokens:
         return None
     path = b"%d " % len(tokens) + b" ".join(tokens if whole else tokens[:depth])
     digest = xxhash.xxh64_intdigest
@@ -86,14 +90,17 @@ def _scan(rows: DataFrame, depth: int, constant: float) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, depth: int, constant: float) -> DataFrame:
-    """(leaf, line, docs, pos, token) of the lines that ``wanted`` lists for a text."""
+    """(leaf, line, docs, pos, token) of the lines that ``wanted`` lists for a text, from behind the path on.
+
+    A line without such tokens has one row, with position -1.
+    """
 
     names = ["leaf", "line", "docs", "pos", "token"]
 
-    def batch_of(rows: list[tuple[int, int, int, list[int]]]) -> pa.RecordBatch:
+    def batch_of(rows: list[tuple[int, int, int, list[int], int]]) -> pa.RecordBatch:
         sizes = [len(r[3]) for r in rows]
         columns = [np.repeat(np.array([r[k] for r in rows], dtype=np.int64), sizes) for k in range(3)]
-        columns.append(np.concatenate([np.arange(n) for n in sizes] or [np.empty(0, dtype=np.int64)]))
+        columns.append(np.concatenate([r[4] + np.arange(n) for r, n in zip(rows, sizes)] or [np.empty(0, dtype=np.int64)]))
         columns.append(np.array([t for r in rows for t in r[3]], dtype=np.int64))
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
 
@@ -106,7 +113,8 @@ def _tokens(texts: DataFrame, depth: int, constant: float) -> DataFrame:
                     at = place(line, depth, constant)
                     n = docs.pop(at, None)
                     if n:
-                        rows.append((*at, n, [_signed(xxhash.xxh64_intdigest(t)) for t in tokens_of(line, constant)[0]]))
+                        behind = [_signed(xxhash.xxh64_intdigest(t)) for t in tokens_of(line, depth, constant)[0][depth:]]
+                        rows.append((*at, n, behind, depth) if behind else (*at, n, [0], -1))
                         held += len(rows[-1][3])
                 if held > BATCH_TOKENS:
                     yield batch_of(rows)
@@ -136,7 +144,7 @@ def _finish(texts: DataFrame, depth: int, constant: float) -> DataFrame:
 
 
 def templates(pairs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, depth: int = DEPTH) -> DataFrame:
-    """(leaf, line, template, share) of the lines of all leaves that enough documents reach.
+    """(leaf, line, template) of the lines of all leaves that enough documents reach.
 
     Lines of one leaf have the same number of tokens and the same leading ones. At the
     other places a token stays in the template if ``min_docs`` documents have it there;
@@ -156,24 +164,25 @@ def templates(pairs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, const
     # Documents, not their lines: those with several lines of a leaf count once for a token.
     again = pairs.join(small(reached.select("leaf"), 16), "leaf").groupBy("id", "key", "leaf").agg(F.collect_set("line").alias("lines"))
     again = again.where(F.size("lines") > 1).select("id", "key", "leaf", F.explode("lines").alias("line"))
-    again = again.join(tokens.where(F.col("pos") >= depth).select("leaf", "line", "pos", "token"), ["leaf", "line"])
+    again = again.join(tokens.where("pos >= 0").select("leaf", "line", "pos", "token"), ["leaf", "line"])
     again = again.groupBy("id", "key", "leaf", "pos", "token").agg((F.lit(1) - F.count(F.lit(1))).alias("docs")).where("docs < 0")
     counted = tokens.select("leaf", "pos", "token", "docs").unionByName(again.select("leaf", "pos", "token", "docs"))
     stays = counted.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     stays = stays.join(small(reached, 24), "leaf").select("leaf", "pos", "token", "n", (F.col("n") >= COMMON * F.col("reach")).alias("common"))
     known = tokens.join(stays, ["leaf", "pos", "token"], "left")
-    half, made = F.lit(0xFFFFFFFF), []
+    half, made, behind = F.lit(0xFFFFFFFF), [], F.col("pos") >= 0
     field = F.lit(_signed(xxhash.xxh64_intdigest(FIELD)))
     for k, stay in enumerate((F.col("n").isNotNull(), F.coalesce("common", F.lit(False)))):
         h = F.when(stay, F.xxhash64("pos", "token")).otherwise(F.xxhash64("pos"))
         made += [
             F.sum(h.bitwiseAND(half)).alias(f"low{k}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"high{k}"),
-            (F.sum((stay & (F.col("token") != field)).cast("long")) / F.count(F.lit(1))).alias(f"share{k}"),
+            F.count_if(stay & (F.col("token") != field) & behind).alias(f"kept{k}"),
         ]
-    made = known.groupBy("leaf", "line").agg(*made)
-    both = [F.struct(F.xxhash64("leaf", f"low{k}", f"high{k}").alias("template"), F.col(f"share{k}").alias("share")) for k in (0, 1)]
-    made = made.select("leaf", "line", F.explode(F.array_distinct(F.array(*both))).alias("t")).select("leaf", "line", "t.*")
-    return made.where(F.col("share") >= constant)
+    made = known.groupBy("leaf", "line").agg(F.count_if(behind).alias("many"), *made)
+    both = [F.struct(F.xxhash64("leaf", f"low{k}", f"high{k}").alias("template"), F.col(f"kept{k}").alias("kept")) for k in (0, 1)]
+    made = made.select("leaf", "line", "many", F.explode(F.array_distinct(F.array(*both))).alias("t")).select("leaf", "line", "many", "t.*")
+    enough = (F.col("kept") >= constant * F.col("many")) & ((F.col("kept") >= MIN_KEPT) | (F.col("kept") == F.col("many")))
+    return made.where(enough).drop("many", "kept")
 
 
 def remove_recurring_lines(
@@ -184,8 +193,8 @@ def remove_recurring_lines(
 
     A line goes where one of its templates occurs in ``min_docs`` documents. Tokens are runs
     without white space of ASCII; those that hold a digit are fields from the start, but
-    a line with few others is taken as it is.
-    Blank lines and lines of fewer than ``MIN_TOKENS`` tokens stay. A null text has no
+    a line with few others, and one of at most ``depth`` tokens, is taken as it is.
+    Blank lines stay. A null text has no
     lines, an empty one has one. Rows that repeat id and text count as one document,
     null ids as an id. Other columns are not read; an empty table gives an empty result.
     """

@@ -160,40 +160,65 @@ def test_recurring_lines(spark, corpus):
         rows.append((i, "\n".join(lines)))
     got = {r["id"]: r for r in line_dedup.remove_recurring_lines(spark.createDataFrame(rows, TEXT)).collect()}
 
+    assert_lines(rows, got)
+    assert all(not any(x.startswith("job ") for x in t.split("\n")) or got[i]["n_removed"] for i, t in rows)
+
+
+def assert_lines(rows, got):
+    """The rule of line dedup, document by document and place by place."""
+
     def tokens(line):
-        return tuple("<*>" if any(c in "0123456789" for c in w) else w for w in line.encode().decode("latin-1").split(" ") if w.strip())
+        raw = [w for w in line.encode().decode("latin-1").split(" ") if w.strip()]
+        shown = ["<*>" if any(c in "0123456789" for c in w) else w for w in raw]
+        if len(raw) <= 3 or 2 * (len(raw) - shown.count("<*>")) < len(raw):
+            return tuple("=" + w for w in raw), True
+        return tuple(shown), False
 
-    lines = {i: t.split("\n") for i, t in rows}
-    leaf = {}
-    docs_of, count = defaultdict(set), defaultdict(int)
-    for i, ls in lines.items():
-        for x in ls:
-            k = tokens(x)
-            if len(k) >= 3:
-                leaf[k] = (len(k), k[:3])
-                docs_of[leaf[k]].add(i)
-    with_line = defaultdict(set)
-    for i, ls in lines.items():
-        for x in ls:
-            k = tokens(x)
-            if k in leaf and len(docs_of[leaf[k]]) >= 3:
-                with_line[k].add(i)
-    for k, s in with_line.items():
-        for p, w in enumerate(k):
-            count[leaf[k], p, w] += len(s)
+    def leaf(k, whole):
+        return len(k), k if whole else k[:3]
 
-    def template(k):
-        stays = [count[leaf[k], p, w] >= 3 for p, w in enumerate(k)]
-        return (leaf[k], tuple(w if y else None for w, y in zip(k, stays))) if 2 * sum(stays) >= len(k) else None
+    lines = {i: [tokens(x) for x in t.split("\n")] for i, t in rows}
+    reach, having = defaultdict(set), defaultdict(set)
+    for i, ls in lines.items():
+        for k, whole in ls:
+            if k:
+                reach[leaf(k, whole)].add(i)
+                for p, w in enumerate(k[3:]):
+                    having[leaf(k, whole), p, w].add(i)
+
+    def templates(k, whole):
+        at, out = leaf(k, whole), set()
+        if not k or len(reach[at]) < 3:
+            return out
+        for least in (3, max(3, 0.1 * len(reach[at]))):
+            shown = tuple(w if len(having[at, p, w]) >= least else None for p, w in enumerate(k[3:]))
+            kept = sum(w not in (None, "<*>") for w in shown)
+            if 2 * kept >= len(shown) and (kept >= 2 or kept == len(shown)):
+                out.add((at, shown))
+        return out
 
     spread = defaultdict(set)
-    for k, s in with_line.items():
-        spread[template(k)] |= s
     for i, ls in lines.items():
-        kept = [x for x in ls if (k := tokens(x)) not in with_line or template(k) is None or len(spread[template(k)]) < 3]
-        assert got[i]["n_removed"] == len(ls) - len(kept)
+        for x in ls:
+            for made in templates(*x):
+                spread[made].add(i)
+    for i, t in rows:
+        kept = [x for x in t.split("\n") if all(len(spread[made]) < 3 for made in templates(*tokens(x)))]
+        assert got[i]["n_removed"] == len(t.split("\n")) - len(kept)
         assert got[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
-    assert all(not any(x.startswith("job ") for x in ls) or got[i]["n_removed"] for i, ls in lines.items())
+
+
+def test_unique_and_short_lines(spark):
+    unique = ["I want to leave now", "I want to sleep soundly", "I want to know why", "I want to eat apples", "I want to win twice",
+              "I want to swim far", "There was once a brave king", "There was once a small dog", "There was once a green hill",
+              "There was once a cold river", "It is 5", "It is 7", "It is 9"]
+    rows = [(k, x) for k, x in enumerate(unique)] + [(100 + k, f"Read more\nown text number{chr(97 + k)} here\n\nSign in") for k in range(5)]
+    rows += [(200 + k, f"Posted in the news section by author{chr(97 + k)}") for k in range(4)]
+    got = {r["id"]: r for r in line_dedup.remove_recurring_lines(spark.createDataFrame(rows, TEXT)).collect()}
+    assert all(got[k]["n_removed"] == 0 for k in range(len(unique)))
+    assert all(got[100 + k]["n_removed"] == 2 for k in range(5))
+    assert all(got[200 + k]["n_removed"] == 1 for k in range(4))
+    assert_lines(rows, got)
 
 
 def crc(i, n):
