@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import written
+from logwarden.operators.ordering import numbered
 
 #: Turns of one conversation that are ordered, and rendered, together.
 PART_TURNS = 256
@@ -23,7 +24,6 @@ def _turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
     return out.select(
         F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("key"),
         "*",
-        F.floor(F.col("turn") / PART_TURNS).alias("part"),
         F.xxhash64("role", "text").alias("h1"),
         F.xxhash64(F.lit("second"), "text", "role").alias("h2"),
     )
@@ -39,20 +39,27 @@ def _digest(sums: str) -> Column:
     return F.struct(*[F.xxhash64(*[F.col(f"{sums}{x}{k}") for k in (0, 1)]).alias(x) for x in _HASHES])
 
 
-def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def positioned(turns: DataFrame) -> DataFrame:
+    """The distinct turns (key, turn, h1, h2) with their position ``pos`` in the conversation and its ``part``.
+
+    All turns are numbered in one order over conversations, by ranges, so neither a long
+    conversation nor many turns with one number or none meet in one task.
+    """
+    rows = turns.groupBy("key", "turn", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
+    rows = written(numbered(rows, "key", "turn", "h1", "h2", name="at"), "chat-numbered")
+    starts = rows.groupBy("key").agg(F.min("at").alias("start"))
+    rows = rows.join(starts, "key").withColumn("pos", F.col("at") - F.col("start") + 1).drop("at", "start")
+    return written(rows.withColumn("part", F.floor((F.col("pos") - 1) / PART_TURNS)), "chat-turns")
+
+
+def prefixes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hashes of all turn prefixes, and of whole conversations.
 
     The hash of a prefix is the sum of the hashes of its positioned turns, so it rolls
     along a conversation: within a part by a window, between parts by the sums of the
     parts. A conversation of any length is dealt out by its parts.
     """
-    rows = turns.groupBy("key", "part", "turn", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    in_part = Window.partitionBy("key", "part").orderBy("turn", "h1", "h2")
-    rows = rows.withColumn("at", F.row_number().over(in_part))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rows = written(rows.join(starts, ["key", "part"]).withColumn("pos", F.col("start") + F.col("at")), "chat-turns")
     placed = {"a": F.xxhash64("pos", "h1", "h2"), "b": F.xxhash64("h2", "h1", "pos")}
     values = {f"{x}{k}": v for x in _HASHES for k, v in enumerate(_halves(placed[x]))}
     rows = rows.select("key", "conv_id", "part", "pos", *[v.alias(n) for n, v in values.items()])
@@ -73,12 +80,12 @@ def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return running, whole
 
 
-def maximal(turns: DataFrame) -> DataFrame:
+def maximal(rows: DataFrame) -> DataFrame:
     """The conversations that are neither a prefix of a longer one nor a copy of an earlier one.
 
     ``key``, ``conv_id``, ``n`` (turns) and ``copies`` (conversations equal to it).
     """
-    running, whole = prefixes(turns)
+    running, whole = prefixes(rows)
     first = F.min(F.struct(F.col("conv_id").isNull().alias("last"), "conv_id", "key")).alias("first")
     kept = whole.groupBy("n", "a", "b").agg(first, F.count(F.lit(1)).alias("copies"))
     # A prefix short of its conversation's end belongs to a longer conversation.
@@ -93,15 +100,17 @@ def format_chats(
 
     Turns are taken in order of turn and, where that ties, of a hash of the row; a row
     that repeats another is the same turn. A long conversation gives one row for each
-    range of ``PART_TURNS`` turn numbers, in order of ``part``, so no row grows with it.
+    ``PART_TURNS`` of its turns, in order of ``part``, so no row grows with it.
     Rows with a null id form one conversation. Other columns are not read, and an empty
     table gives an empty result.
     """
     rows = _turns(turns, conv_col, turn_col, role_col, text_col)
-    kept = written(maximal(rows), "chat-kept")
-    said = F.struct("turn", "h1", "h2", "role", "text")
+    places = positioned(rows)
+    kept = written(maximal(places), "chat-kept")
+    places = places.drop("conv_id").join(kept, "key")
+    said = F.struct("pos", "role", "text")
     parts = (
-        rows.drop("conv_id").join(kept, "key").groupBy("key", "part")
+        rows.drop("conv_id").join(places, ["key", "turn", "h1", "h2"]).groupBy("key", "part")
         .agg(F.first("conv_id").alias("conv_id"), F.first("n").alias("turns"), F.first("copies").alias("copies"),
              F.array_sort(F.collect_set(said)).alias("said"))
     )

@@ -146,9 +146,23 @@ def test_chats(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("n", F.lit(0)).withColumn("part", F.lit(9))
     out = chat.format_chats(df).collect()
     # 1 and 2 = 3 are snapshots of 6; a conversation of 600 turns is rendered in three parts.
-    assert sorted((r["conv_id"] or -1, r["part"]) for r in out) == [(-1, -1), (4, 0), (5, 0), (6, 0), (6, 1), (6, 2)]
+    assert sorted((r["conv_id"] or -1, r["part"]) for r in out) == [(-1, 0), (4, 0), (5, 0), (6, 0), (6, 1), (6, 2)]
     whole = "".join(r["text"] for r in sorted(out, key=lambda r: r["part"]) if r["conv_id"] == 6)
     assert whole == "".join(f"<|im_start|>{said[t % 4][0]}\n{said[t % 4][1]}<|im_end|>\n" for t in range(600))
     alone = chat.format_chats(df.where("conv_id < 4")).collect()
     assert [(r["conv_id"], r["turns"], r["copies"]) for r in alone] == [(2, 4, 2)]
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_parts_are_bounded(spark):
+    """Rows without an id and a turn number, and many with one number, are dealt to parts as well."""
+    rows = [(None, None, "user", f"text {k % 900}") for k in range(1500)] + [(1, 7, "user", f"t{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df.repartition(5)).collect()
+    shown = {}
+    for r in sorted(out, key=lambda r: r["part"]):
+        assert r["text"].count("<|im_start|>") <= chat.PART_TURNS
+        shown[r["conv_id"]] = shown.get(r["conv_id"], "") + r["text"]
+    assert {(r["conv_id"], r["turns"]) for r in out} == {(None, 900), (1, 600)}
+    assert sorted(shown[1].split("<|im_end|>\n")[:-1]) == sorted(f"<|im_start|>user\nt{k}" for k in range(600))
+    assert shown[None].count("<|im_start|>") == 900
