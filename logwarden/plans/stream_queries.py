@@ -11,7 +11,7 @@ from logwarden.plans import derived
 from logwarden.plans.catalog import query
 from logwarden.plans.ingest_queries import SQL_CHAIN, time_text
 from logwarden.plans.respond_queries import _DECIDED, sample_analyser
-from logwarden.schemas import INCIDENTS, LOGS, RCA
+from logwarden.schemas import INCIDENTS, LOGS, PENDING, RCA
 from logwarden.session import scratch_path
 from logwarden.sources.tables import latest_by_key
 from logwarden.streaming import approvals, files, keyed, stages, windows
@@ -150,6 +150,17 @@ def detect_parity(spark, sf_dir):
 def stream_response(spark, sf_dir):
     """Incidents through analysis and remediation, stage by stage."""
     base = scratch_path(spark, "response")
+    _respond(spark, sf_dir, base)
+
+    def outcome(name):
+        rows = files.read_all(spark, f"{base}/{name}", "incident_id STRING, target_command STRING")
+        return rows.select("incident_id", F.lit(name.removeprefix("rca_")).alias("stream"), "target_command")
+
+    return outcome("history").unionByName(outcome("pending")).unionByName(outcome("rca_failed"))
+
+
+def _respond(spark, sf_dir, base):
+    """The derived incidents through analysis and remediation."""
     inc = derived.stream(spark, sf_dir, "incidents")
     shaped = inc.select(
         "incident_id", F.col("stream_id").cast("string").alias("source_stream_id"), "service_name",
@@ -162,11 +173,27 @@ def stream_response(spark, sf_dir):
     reports = files.read_stream(spark, f"{base}/rca", RCA)
     stages.start_remediate(reports, base, F.lit(0.0), True).awaitTermination()
 
-    def outcome(name):
-        rows = files.read_all(spark, f"{base}/{name}", "incident_id STRING, target_command STRING")
-        return rows.select("incident_id", F.lit(name.removeprefix("rca_")).alias("stream"), "target_command")
 
-    return outcome("history").unionByName(outcome("pending")).unionByName(outcome("rca_failed"))
+@query(
+    "stream_gauges",
+    ("json_lines", "incidents", "decisions"),
+    """, r AS (SELECT incident_id, CASE WHEN message LIKE '%denied%' THEN 'HIGH' ELSE 'LOW' END AS risk_level
+             FROM incidents WHERE message NOT LIKE '%Heartbeat%'),
+       n AS (SELECT (SELECT count(*) FROM json_lines WHERE stream_id % 40 NOT BETWEEN 7 AND 12) AS telemetry, (SELECT count(*) FROM r) AS rca,
+                    (SELECT count(*) FROM r WHERE risk_level = 'LOW') AS automatic, (SELECT count(*) FROM r WHERE risk_level = 'HIGH') AS held,
+                    (SELECT count(*) FROM r WHERE risk_level = 'HIGH' AND incident_id IN (SELECT incident_id FROM decisions)) AS decided)
+       SELECT stream, length, length AS recounted FROM (
+         SELECT 'telemetry' AS stream, telemetry AS length FROM n UNION ALL SELECT 'incidents', 0 FROM n UNION ALL SELECT 'rca', rca FROM n
+         UNION ALL SELECT 'history', automatic + decided FROM n UNION ALL SELECT 'pending', held - decided FROM n)""",
+)
+def stream_gauges(spark, sf_dir):
+    """Gauges that batches leave behind, beside a count of everything the stages have written."""
+    base = _ingest(spark, sf_dir)
+    _respond(spark, sf_dir, base)
+    pending = files.read_stream(spark, f"{base}/pending", PENDING)
+    stages.start_decide(pending, derived.stream(spark, sf_dir, "decisions"), base, True).awaitTermination()
+    counted = stages.stage_lengths(spark, base).withColumnRenamed("length", "recounted")
+    return stages.gauges(spark, base).join(counted, "stream")
 
 
 @query("stream_chain")

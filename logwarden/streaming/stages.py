@@ -35,12 +35,16 @@ from logwarden.streaming.files import (
     make_folder,
     read_all,
     read_stream,
+    totals,
     write_once,
 )
 
 # Micro-batch interval of a running stage; tests and drains use available_now.
 INTERVAL = "500 milliseconds"
 
+# What a stage's output is measured by.
+ROWS = "count(1)"
+
 VECTORS = (
     "stream_id BIGINT, service_name STRING, log_level STRING, timestamp TIMESTAMP, "
     "raw_message STRING, normalized_msg STRING, vector ARRAY<FLOAT>"
@@ -79,7 +83,7 @@ def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -
     def handle(batch: DataFrame, batch_id: int) -> None:
         if "stream_id" not in batch.columns:
             batch = with_ids(batch, batch_id)
-        write_once(accepted(batch), f"{base}/telemetry", batch_id)
+        write_once(accepted(batch), f"{base}/telemetry", batch_id, ROWS)
         write_once(rejected(batch), f"{base}/rejected", batch_id)
 
     make_folder(validated.sparkSession, f"{base}/telemetry")
@@ -173,7 +177,7 @@ def start_context(
     flagged = keyed.contexts(scored, detection.frame_struct(), is_anomaly(F.col("anomaly_score"), threshold), window_size, CONTEXT_RING)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_once(detection.incident_rows(batch, threshold, detected_at), f"{base}/incidents", batch_id)
+        write_once(detection.incident_rows(batch, threshold, detected_at), f"{base}/incidents", batch_id, ROWS)
 
     make_folder(scored.sparkSession, f"{base}/incidents")
     return start_batches(flagged, f"{base}/_checkpoints/context", handle, available_now)
@@ -208,7 +212,7 @@ def start_analyse(
         asked = rca.enrich(batch, make_analyser, **options)
         write_once(asked, f"{base}/rca_requests", batch_id)
         answers = spark.read.schema(asked.schema).parquet(f"{base}/rca_requests/batch_id={batch_id}")
-        write_once(rca.insights(answers, analyzed_at), f"{base}/rca", batch_id)
+        write_once(rca.insights(answers, analyzed_at), f"{base}/rca", batch_id, ROWS)
         write_once(rca.failures(answers), f"{base}/rca_failed", batch_id)
 
     make_folder(spark, f"{base}/rca")
@@ -223,8 +227,8 @@ def start_remediate(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         planned = remediation.plan_actions(batch)
-        write_once(remediation.auto_history(planned, executed_at, outcome), f"{base}/history", batch_id)
-        write_once(remediation.pending_actions(planned), f"{base}/pending", batch_id)
+        write_once(remediation.auto_history(planned, executed_at, outcome), f"{base}/history", batch_id, ROWS)
+        write_once(remediation.pending_actions(planned), f"{base}/pending", batch_id, ROWS)
         write_once(remediation.notifications(planned), f"{base}/outbox", batch_id)
 
     make_folder(reports.sparkSession, f"{base}/pending")
@@ -244,9 +248,9 @@ def start_decide(
     spark = pending.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_once(batch, f"{base}/decided", batch_id)
+        write_once(batch, f"{base}/decided", batch_id, "count_if(found)")
         outcomes = spark.read.schema(approvals.OUTCOME).parquet(f"{base}/decided/batch_id={batch_id}")
-        write_once(approvals.history_of(outcomes, outcome), f"{base}/history_decided", batch_id)
+        write_once(approvals.history_of(outcomes, outcome), f"{base}/history_decided", batch_id, ROWS)
 
     make_folder(spark, f"{base}/decided")
     if ttl_s is None:
@@ -289,6 +293,21 @@ def drain(
         start_decide(source("pending", PENDING), decisions, base, True).awaitTermination()
 
 
+def gauges(spark: SparkSession, base: str) -> DataFrame:
+    """(stream, length) of every stage, from the totals that each batch leaves: no output is counted again.
+
+    The same numbers as :func:`stage_lengths`, where an action is not held twice.
+    """
+    known = totals(spark, base)
+    amount = F.when(F.col("stream") == "decided", -F.col("total")).otherwise(F.col("total"))
+    name = (
+        F.when(F.col("stream") == "history_decided", "history").when(F.col("stream") == "decided", "pending").otherwise(F.col("stream"))
+    )
+    names = spark.createDataFrame([(s,) for s in ("telemetry", "incidents", "rca", "history", "pending")], "stream STRING")
+    summed = known.groupBy(name.alias("stream")).agg(F.sum(amount).alias("length"))
+    return names.join(summed, "stream", "left").select("stream", F.coalesce("length", F.lit(0)).alias("length"))
+
+
 def stage_lengths(spark: SparkSession, base: str) -> DataFrame:
     """(stream, length) of every stage output: the periodic gauges.
 
