@@ -264,6 +264,12 @@ def anomaly_rate(spark, sf_dir):
     return _shown(rates.event_rate(derived.table(spark, sf_dir, "incidents"), "service_name", "ts"), "service_name")
 
 
+@query("daily_trend", ("incidents",), _rate_sql("incidents", "service_name", "1 day"))
+def daily_trend(spark, sf_dir):
+    """Anomalies per service and day: the historical trend."""
+    return _shown(rates.event_rate(derived.table(spark, sf_dir, "incidents"), "service_name", "ts", "1 day"), "service_name")
+
+
 @query(
     "remediation_rate",
     ("rca",),

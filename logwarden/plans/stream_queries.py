@@ -41,6 +41,24 @@ def stream_ingest(spark, sf_dir):
     return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("stream_id").alias("ids"))
 
 
+@query(
+    "ingest_ids",
+    ("json_lines",),
+    """, t AS (SELECT CASE WHEN stream_id % 40 BETWEEN 7 AND 12 THEN 'rejected' ELSE 'telemetry' END AS outcome FROM json_lines)
+       SELECT outcome, count(*) AS n, count(*) AS ids, (SELECT count(*) - 1 FROM t) AS last FROM t GROUP BY outcome""",
+)
+def ingest_ids(spark, sf_dir):
+    """Lines that carry no ids: each output's rows and ids, and the last id given, counted from zero without gaps."""
+    base = scratch_path(spark, "ids")
+    lines = derived.stream(spark, sf_dir, "json_lines").select("line")
+    stages.start_ingest(validate_json(lines, "line").drop("line"), base, True).awaitTermination()
+    read = [files.read_all(spark, f"{base}/{n}", "stream_id BIGINT").withColumn("outcome", F.lit(n)) for n in ("telemetry", "rejected")]
+    both = read[0].unionByName(read[1])
+    last = both.agg(F.max("stream_id")).scalar()
+    counted = both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stream_id").alias("ids"))
+    return counted.withColumn("last", last)
+
+
 def _upserted(spark, df, keys):
     """Drain an update-mode aggregate; the last batch wins per key."""
     base = scratch_path(spark, "updates")

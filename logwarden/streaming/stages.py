@@ -61,28 +61,39 @@ def start_batches(
     return writer.trigger(**trigger).start()
 
 
-def with_ids(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Add ``stream_id`` to a micro-batch: unique, without gaps inside it, and above those of earlier batches.
+def placed(batch: DataFrame) -> DataFrame:
+    """Add ``_at``: the row's partition and its place in it. What is numbered must be written with it."""
+    return batch.withColumn("_at", F.monotonically_increasing_id())
 
-    Rows are numbered in the order of the partitions that read them: the number inside a
-    partition plus the sizes of the partitions before it. The batch's number makes up the
-    upper bits, so a replayed batch gets the same range again.
+
+def with_ids(written: DataFrame, batch_id: int) -> DataFrame:
+    """Turn the ``_at`` of a written micro-batch into ``stream_id``: unique, without gaps inside the batch, and
+    above those of earlier batches.
+
+    A row's number is its place in its partition plus the sizes of the partitions before it. The
+    batch's number makes up the upper bits. All of it follows from what was written, so
+    outputs agree and a replay under other partition sizes gives the same ids.
     """
-    placed = batch.withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = written.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.join(F.broadcast(starts), "_part")  # one row per partition
+    starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    numbered = parts.join(F.broadcast(starts), "_part")  # one row per partition
     first = F.lit(batch_id << 40).cast("bigint")
     return numbered.withColumn("stream_id", first + F.col("_start") + F.col("_row")).drop("_at", "_part", "_row", "_start")
 
 
 def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -> StreamingQuery:
-    """Validated events to ``telemetry`` and ``rejected``; ids are assigned here unless they carry them."""
+    """Validated events to ``telemetry`` and ``rejected``; ids are assigned here unless they carry them.
+
+    Rows without ids are written to ``received`` before they are numbered.
+    """
+    spark = validated.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if "stream_id" not in batch.columns:
-            batch = with_ids(batch, batch_id)
+            given = placed(batch)
+            write_once(given, f"{base}/received", batch_id)
+            batch = with_ids(spark.read.schema(given.schema).parquet(f"{base}/received/batch_id={batch_id}"), batch_id)
         write_once(accepted(batch), f"{base}/telemetry", batch_id, ROWS)
         write_once(rejected(batch), f"{base}/rejected", batch_id)
 

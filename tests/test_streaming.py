@@ -229,3 +229,18 @@ def test_held_actions_expire(spark):
     assert expired == set(ends) - set(first)
     later = run("b", [(next(iter(expired)), 1_000, "approve", 2e6)])
     assert [g["found"] for g in later if g["decision_id"] == 1_000] == [False]
+
+
+def test_ids_follow_from_what_was_written(spark, tmp_path):
+    """Two reads of a received batch under other split sizes give the same ids to the same rows."""
+    given = stages.placed(spark.range(1_000).repartition(5).withColumnRenamed("id", "v"))
+    given.write.parquet(str(tmp_path / "in"))
+    size, got = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for limit in (size, "200"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            rows = stages.with_ids(spark.read.schema(given.schema).parquet(str(tmp_path / "in")), 3).collect()
+            got.append({(r["v"], r["stream_id"]) for r in rows})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got[0] == got[1] and {i for _, i in got[0]} == set(range(3 << 40, (3 << 40) + 1_000))
