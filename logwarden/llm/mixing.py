@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from logwarden.llm.common import private, small, word_count, written
 
+#: Doubles are summed as this, so that sums do not depend on the order of rows.
+EXACT = "decimal(30,6)"
 #: Rows that one cell of equal documents deals copies to.
 CELL_ROWS = 512
 
@@ -73,7 +75,7 @@ def tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: float, ma
         sums = (
             cells.join(state.where("NOT done AND NOT full AND mean > 0"), "key")
             .groupBy("key")
-            .agg(F.sum(tokens).alias("tokens"), F.sum(slope).alias("slope"))
+            .agg(*[F.sum(v.cast(EXACT)).cast("double").alias(c) for c, v in (("tokens", tokens), ("slope", slope))])
         )
         error = F.col("tokens") - F.col("target")
         lo = F.when(error < 0, F.col("tilt")).otherwise(F.col("lo"))
