@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import share
 
 #: Pieces of text, and words, whose tokens a task remembers; one takes about 200 bytes.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
 #: The pattern of byte-level pre-tokenisation; fixed value, L, N and S stand for the classes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{s}{l}{n}]+|{S}+(?!{notS})|{S}+"
 #: A line feed with text on both sides is a piece of its own, and a space there starts a new one.
@@ -376,19 +377,13 @@ class Coder:
         self.specials = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def _learn(self, pieces: set, known: dict, lead: str) -> None:
-        new = list(pieces.difference(known))
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(pieces)
+        new = list(_missing(pieces, known))
         v, split = self.v, []
         for p in new:
             text = lead + p
             engine = v.exact_split if v.odd and not text.isascii() and v.odd.search(text) else v.plain_split
             split.append(engine.findall(text))
-        fresh = list({w for s in split for w in s}.difference(self.words))
-        if len(self.words) + len(fresh) > CACHE_PIECES:
-            self.words.clear()
-            fresh = list({w for s in split for w in s})
+        fresh = list(_missing({w for s in split for w in s}, self.words))
         raw = [w.encode() for w in fresh]
         shown, letters = self.shown, v.bytes
         for w, data, ids in zip(fresh, raw, v.encode_words(raw)):
@@ -428,6 +423,20 @@ class Coder:
         return b"".join([self.v.bytes[i] for i in ids_of(ids)]).decode("utf-8", errors="replace")
 
 
+def _missing(asked: set, known: dict) -> set:
+    """What ``known`` lacks. Where it would grow too large it keeps its older half first.
+
+    What is frequent is met early, so the older half is asked for most.
+    """
+    new = asked.difference(known)
+    if len(known) + len(new) > CACHE_PIECES:
+        kept = list(islice(known.items(), CACHE_PIECES // 2))
+        known.clear()
+        known.update(kept)
+        new = asked.difference(known)
+    return new
+
+
 def ids_of(ids: str) -> list[int]:
     """Token ids of an encoded text."""
     return [int(i) for i in ids[1:].split(",")] if ids else []
@@ -435,7 +444,7 @@ def ids_of(ids: str) -> list[int]:
 
 SCHEMA = "id long, ids array<int>, decoded string"
 #: Texts that are cut and learned together.
-BATCH_CHARS = 500_000
+BATCH_CHARS = 1_000_000
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
