@@ -244,3 +244,27 @@ def test_ids_follow_from_what_was_written(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert got[0] == got[1] and {i for _, i in got[0]} == set(range(3 << 40, (3 << 40) + 1_000))
+
+
+def test_held_actions_share_state_by_shard(spark):
+    """A value of the state, and a call into Python, holds many actions; null ids are held like others."""
+    base = scratch_path(spark, "shards")
+    n = 4 * approvals.SHARDS
+    ids = spark.range(n).select(F.when(F.col("id") > 0, F.concat(F.lit("i"), "id")).alias("incident_id"), "id")
+    ids.select("incident_id", *[F.concat(F.lit(c), "id").alias(c) for c in approvals.HELD]).write.parquet(f"{base}/held/a")
+    # Two decisions on every third action in the same batch, the later id first.
+    twice = ids.filter("id % 3 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(0))))
+    twice.select((F.col("id") * 2 + F.col("k")).alias("decision_id"), "incident_id", F.lit("deny").alias("decision"),
+                 F.lit(1.0).alias("decided_at")).write.parquet(f"{base}/asked/a")
+    schemas = {name: spark.read.parquet(f"{base}/{name}/a").schema for name in ("held", "asked")}
+    out = approvals.decision_outcomes(*[files.read_stream(spark, f"{base}/{name}", s) for name, s in schemas.items()])
+    run = (
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= approvals.SHARDS
+    got = spark.read.schema(approvals.OUTCOME).parquet(f"{base}/out").collect()
+    assert len(got) == 2 * len(range(0, n, 3))
+    want = {2 * i: f"target_command{i}" for i in range(0, n, 3)}
+    assert {r["decision_id"]: r["target_command"] for r in got if r["found"]} == want
