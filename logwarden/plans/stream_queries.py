@@ -236,7 +236,7 @@ def stream_chain(spark, sf_dir):
        FROM r i WHERE i.score > 0.55""",
 )
 def stream_context(spark, sf_dir):
-    """Context of anomalous rows from keyed state, over several micro-batches."""
+    """Context of anomalous rows from the rows that batches hand on, over several micro-batches."""
     base = scratch_path(spark, "context")
     rows = derived.logs(spark, sf_dir).select(
         "stream_id", "service_name", "timestamp", "level", "message", "metadata",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.functions.scoring import check_threshold, is_anomaly
-from logwarden.operators import detection, forest, rca, remediation, vectors
+from logwarden.operators import context, detection, forest, rca, remediation, vectors
 from logwarden.operators.templates import add_template
 from logwarden.operators.validation import accepted, rejected
 from logwarden.schemas import (
@@ -184,14 +184,31 @@ def start_context(
     scored: DataFrame, base: str, threshold: float = ANOMALY_THRESHOLD, window_size: int = CONTEXT_WINDOW,
     detected_at: Column | None = None, available_now: bool = False,
 ) -> StreamingQuery:
-    """Scored rows to ``incidents`` with the last rows of their service, which are kept as keyed state."""
-    flagged = keyed.contexts(scored, detection.frame_struct(), is_anomaly(F.col("anomaly_score"), threshold), window_size, CONTEXT_RING)
+    """Scored rows to ``incidents`` with the last rows of their service.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_once(detection.incident_rows(batch, threshold, detected_at), f"{base}/incidents", batch_id, ROWS)
+    Ids of a service grow from one micro-batch to the next. A batch reads the newest rows of
+    each service that the batch before it left in ``ring`` and leaves the same behind, so no older
+    folder is read. Its rows are windowed as in batch: a service of any size is many tasks.
+    """
+    check_threshold(threshold)
+    if window_size < 1:
+        raise ValueError("window_size must be at least 1")
+    spark = scored.sparkSession
 
-    make_folder(scored.sparkSession, f"{base}/incidents")
-    return start_batches(flagged, f"{base}/_checkpoints/context", handle, available_now)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        own = batch.select(*keyed.SCORED_NAMES)
+        known = own.withColumn("_new", F.lit(True))
+        if batch_id > 0 and batch_done(spark, f"{base}/ring", batch_id - 1):
+            ring = spark.read.schema(keyed.SCORED).parquet(f"{base}/ring/batch_id={batch_id - 1}")
+            known = ring.withColumn("_new", F.lit(False)).unionByName(known)
+        framed = context.context_frames(known, detection.frame_struct(), window_size)
+        flagged = framed.filter(F.col("_new") & is_anomaly(F.col("anomaly_score"), threshold))
+        write_once(detection.incident_rows(flagged, threshold, detected_at), f"{base}/incidents", batch_id, ROWS)
+        kept = context.ring_buffer(known.drop("_new"), max(CONTEXT_RING, window_size))
+        write_once(kept, f"{base}/ring", batch_id)
+
+    make_folder(spark, f"{base}/incidents")
+    return start_batches(scored, f"{base}/_checkpoints/context", handle, available_now)
 
 
 def detect_available(

@@ -268,3 +268,56 @@ def test_held_actions_share_state_by_shard(spark):
     assert len(got) == 2 * len(range(0, n, 3))
     want = {2 * i: f"target_command{i}" for i in range(0, n, 3)}
     assert {r["decision_id"]: r["target_command"] for r in got if r["found"]} == want
+
+
+def test_context_hands_on_rows_without_state(spark):
+    """A hot service over three batches: windows as over the whole, few rows handed on, no service sorted as one key."""
+    from logwarden.schemas import CONTEXT_RING
+    from logwarden.streaming import keyed
+
+    base, n = scratch_path(spark, "context"), 600
+    rows = spark.range(n).select(
+        F.col("id").alias("stream_id"), F.when(F.col("id") % 7 > 0, "hot").alias("service_name"),
+        F.timestamp_seconds("id").alias("timestamp"), F.lit("INFO").alias("level"), F.concat(F.lit("m"), "id").alias("message"),
+        F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), F.lit("t").alias("normalized_message"),
+        F.when(F.col("id") % 5 == 0, 0.9).otherwise(0.1).alias("anomaly_score"),
+    )
+    for part in range(3):
+        rows.filter(F.floor(F.col("stream_id") / (n // 3)) == part).write.parquet(f"{base}/in/part={part}")
+        stream = files.read_stream(spark, f"{base}/in", keyed.SCORED)
+        run = stages.start_context(stream, base, detected_at=F.lit(0.0), available_now=True)
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"] == []
+    shown = F.transform("context_window", lambda f: f["message"])
+    found = files.read_all(spark, f"{base}/incidents", detection_schema())
+    got = {r[0]: r[1] for r in found.select("incident_id", shown).collect()}
+    want = {}
+    for kind in (0, 1):
+        mine = [i for i in range(n) if (i % 7 > 0) == kind]
+        want |= {f"incident-{i}": [f"m{j}" for j in mine[max(0, k - 4) : k + 1]] for k, i in enumerate(mine) if i % 5 == 0}
+    assert got == want
+    assert spark.read.parquet(f"{base}/ring/batch_id=2").count() == 2 * CONTEXT_RING
+
+
+def test_expiring_actions_share_state_by_shard(spark):
+    """A value of the state and one timer hold many actions; those undecided expire at their own ends."""
+    base = scratch_path(spark, "ends")
+    n = 3 * approvals.SHARDS
+    ids = spark.range(n).select(F.concat(F.lit("i"), "id").alias("incident_id"), "id")
+    held = ids.select("incident_id", *[F.concat(F.lit(c), "id").alias(c) for c in approvals.HELD], (1000.0 + F.col("id")).alias("held_at"))
+    asked = ids.filter("id % 3 = 0").select(
+        "incident_id", F.col("id").alias("decision_id"), F.lit("deny").alias("decision"),
+        (1000.0 + F.col("id") + F.when(F.col("id") % 2 == 0, 60).otherwise(61)).alias("decided_at"),
+    )
+    held.write.parquet(f"{base}/held")
+    asked.write.parquet(f"{base}/asked")
+    streams = [files.read_stream(spark, f"{base}/{name}", df.schema) for name, df in (("held", held), ("asked", asked))]
+    run = stages.start_decide(*streams, base, True, ttl_s=60.0)
+    run.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert 0 < max(state) <= 4 * approvals.SHARDS
+    got = files.read_all(spark, f"{base}/decided", approvals.OUTCOME).collect()
+    assert {r["decision_id"] for r in got if r["found"] and r["decision_id"] is not None} == set(range(0, n, 6))
+    newest = max(1000 + n - 1, max(1000 + i + (60 if i % 2 == 0 else 61) for i in range(0, n, 3)))
+    over = {(f"i{i}", 1060.0 + i, f"target_command{i}") for i in range(n) if i % 6 and 1060 + i <= newest - 600}
+    assert {(r["incident_id"], r["decided_at"], r["target_command"]) for r in got if r["decision"] == "expired"} == over
