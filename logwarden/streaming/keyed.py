@@ -1,16 +1,15 @@
-"""State per key in Spark's state store: context rings of services, held actions with an expiry."""
+"""Held actions with an expiry as keyed state in Spark's state store, by shard of incident ids."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from logwarden.schemas import CONTEXT_RING, CONTEXT_WINDOW, FRAME, FRAMES
-from logwarden.streaming.approvals import OUTCOME
+from logwarden.streaming.approvals import HELD, OUTCOME, from_text, outcomes_of, shard, to_text
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SCORED = (
@@ -20,8 +19,6 @@ SCORED = (
 SCORED_NAMES = (
     "stream_id", "service_name", "timestamp", "level", "message", "metadata", "normalized_message", "anomaly_score"
 )
-#: What a held action consists of.
-HELD = ("service_name", "action_id", "risk_level", "target_command")
 #: An action without a time never expires, and a decision without one is in time for such an action alone.
 NEVER_MS = 1 << 61
 #: Events that come this much after the newest one are dropped by the watermark.
@@ -33,113 +30,86 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-class ContextRing(StatefulProcessor):
-    """The newest frames of a service as a capped list; emits the anomalous rows with their context."""
-
-    def __init__(self, window_size: int, keep: int):
-        self.window_size, self.keep = window_size, max(keep, window_size)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", f"stream_id BIGINT, frame {FRAME}")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        # A micro-batch brings a service's rows in any order; it is bounded, and so is what is held.
-        new = sorted(rows, key=lambda r: r.stream_id)
-        ring = [(r[0], r[1]) for r in self.ring.get()] if self.ring.exists() else []
-        for row in new:
-            ring.append((row.stream_id, row.frame))
-            if len(ring) > 2 * self.keep:
-                del ring[: -self.keep]
-            if row.anomalous:
-                window = [frame for _, frame in ring[-self.window_size :]]
-                yield Row(**{c: row[c] for c in SCORED_NAMES}, context_window=window)
-        self.ring.put(ring[-self.keep :])
-
-    def close(self) -> None:
-        pass
-
-
-def contexts(
-    scored: DataFrame, frame: Column, anomalous: Column, window_size: int = CONTEXT_WINDOW, keep: int = CONTEXT_RING
-) -> DataFrame:
-    """Anomalous rows of a stream with ``context_window``: the last frames of their service, own row last.
+class HeldActions(StatefulProcessor):
+    """An action is held until its first decision in time, or until its time is over.
 
-    Ids of a service grow from one micro-batch to the next. A service is one key of the
-    state: a micro-batch's rows of it are sorted by one task, so the size of micro-batches
-    bounds its memory; only ``keep`` frames stay behind.
+    A key of the state is a shard of incidents, with one timer, for the action that ends first.
     """
-    if window_size < 1:
-        raise ValueError("window_size must be at least 1")
-    use_rocksdb(scored.sparkSession)
-    rows = scored.select(*SCORED_NAMES, frame.alias("frame"), F.coalesce(anomalous, F.lit(False)).alias("anomalous"))
-    return rows.groupBy("service_name").transformWithState(
-        ContextRing(window_size, keep), f"{SCORED}, context_window {FRAMES}", "Append", "None"
-    )
-
-
-class HeldActions(StatefulProcessor):
-    """An action is held until its first decision in time, or until its time is over."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        held = ", ".join(f"{c} STRING" for c in HELD)
-        self.held = handle.getValueState("held", f"{held}, expires_ms BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        action, best = None, []
-        for row in rows:
-            if row.decision_id is None:
-                if action is None or (row.at_ms, row.target_command or "") > (action.at_ms, action.target_command or ""):
-                    action = row
-            else:
-                yield from self._passed_over(key, best, row)
-        if action is not None:
-            self._release()
-            expires = action.at_ms + self.ttl_ms
-            self.held.update((*(action[c] for c in HELD), expires))
-            if action.at_ms < NEVER_MS:
-                self.handle.registerTimer(expires)
-        held = self.held.get() if self.held.exists() else None
-        # Of those in time the one with the smallest id releases the action.
-        in_time = [r for r in best if held is not None and r[0] <= held[4]]
-        first = min(in_time, key=lambda r: r[1], default=None)
-        for r in best:
-            yield self._outcome(key, r, tuple(held)[:4] if r is first else None)
-        if first is not None:
-            self._release()
-
-    def _passed_over(self, key, best: list, row: Row) -> Iterator[Row]:
-        """Keep the decisions that could be the first one in time, whenever that ends; give out the others.
+        self.state = handle.getValueState("held", "held STRING")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = self._held()
+        new = best = None
+        for part in rows:
+            asked = part["decision_id"].notna()
+            if not asked.all():
+                actions = part.loc[~asked, ["incident_id", *HELD, "at_ms"]]
+                actions = actions.assign(order=actions["target_command"].fillna(""))
+                new = actions if new is None else pd.concat([new, actions])
+                # Of an action that comes several times the latest counts.
+                new = new.sort_values(["at_ms", "order"], kind="stable").drop_duplicates("incident_id", keep="last")
+            if asked.any():
+                asked = part.loc[asked, ["incident_id", "decision_id", "decision", "decided_at", "at_ms"]]
+                best, passed_over = self._passed_over(asked if best is None else pd.concat([best, asked]))
+                yield outcomes_of(passed_over)
+        held = old
+        if new is not None:
+            new = new.drop(columns="order").assign(expires_ms=new["at_ms"] + self.ttl_ms)
+            held = pd.concat([old[~old["incident_id"].isin(new["incident_id"])], new])
+        if best is not None:
+            # Of those in time the one with the smallest id releases the action.
+            ends = held[["incident_id", "expires_ms"]].astype({"expires_ms": "int64"})
+            timed = best.merge(ends, on="incident_id", how="left")
+            in_time = timed["at_ms"] <= timed["expires_ms"].fillna(-(1 << 62))
+            first = timed[in_time].sort_values("decision_id", kind="stable").drop_duplicates("incident_id")
+            yield outcomes_of(timed.drop(first.index))
+            yield outcomes_of(first, held)
+            held = held[~held["incident_id"].isin(first["incident_id"])]
+        self._keep(held)
+
+    @staticmethod
+    def _passed_over(asked: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The decisions that could be the first one in time, whenever that ends, and the others.
 
         They are those with no decision before them in time that has a smaller id, few of many.
         """
-        new = (row.at_ms, row.decision_id, row.decision, row.decided_at)
-        at = bisect_left(best, new)
-        if at > 0 and best[at - 1][1] < new[1]:
-            yield self._outcome(key, new, None)
-            return
-        insort(best, new)
-        while at + 1 < len(best) and best[at + 1][1] > new[1]:
-            yield self._outcome(key, best.pop(at + 1), None)
+        asked = asked.astype({"decision_id": "int64", "at_ms": "int64"})
+        asked = asked.sort_values(["at_ms", "decision_id"], kind="stable", ignore_index=True)
+        before = asked.groupby("incident_id", dropna=False)["decision_id"].cummin()
+        open_ = (asked["decision_id"] <= before) & ~asked.assign(least=before).duplicated(["incident_id", "least"])
+        return asked[open_], asked[~open_]
 
-    @staticmethod
-    def _outcome(key, decision: tuple, held: tuple | None) -> Row:
-        own = {"decision_id": decision[1], "decision": decision[2], "decided_at": decision[3], "found": held is not None}
-        return Row(incident_id=key[0], **own, **dict(zip(HELD, held or (None,) * len(HELD))))
+    def _held(self) -> pd.DataFrame:
+        text = self.state.get()[0] if self.state.exists() else "[]"
+        return from_text(text, ["incident_id", *HELD, "at_ms", "expires_ms"])
 
-    def _release(self) -> None:
+    def _keep(self, held: pd.DataFrame) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.held.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.held.exists():
-            held = self.held.get()
-            self.held.clear()
-            yield self._outcome(key, (0, None, "expired", held[4] / 1000.0), tuple(held)[:4])
+        if held.empty:
+            self.state.clear()
+            return
+        self.state.update((to_text(held),))
+        ends = held.loc[held["at_ms"] < NEVER_MS, "expires_ms"]
+        if len(ends):
+            self.handle.registerTimer(int(ends.min()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._held()
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = (held["at_ms"] < NEVER_MS) & (held["expires_ms"] <= until)
+        gone = held[over]
+        undecided = gone[["incident_id"]].assign(
+            decision_id=None, decision="expired", decided_at=gone["expires_ms"].astype("float64") / 1000.0
+        )
+        yield outcomes_of(undecided, gone)
+        self._keep(held[~over])
 
     def close(self) -> None:
         pass
@@ -160,7 +130,7 @@ def expiring_outcomes(pending: DataFrame, decisions: DataFrame, ttl_s: float, la
     asked = decisions.select("incident_id", *[F.lit(None).cast("string").alias(c) for c in HELD], *none, F.col("decided_at").alias("at"))
     events = held.unionByName(asked).withColumn("event_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")))
     at_ms = F.coalesce(F.floor(F.nanvl("at", F.lit(None).cast("double")) * 1000).cast("bigint"), F.lit(NEVER_MS))
-    events = events.withColumn("at_ms", at_ms).drop("at").withWatermark("event_time", lateness)
-    return events.groupBy("incident_id").transformWithState(
+    events = events.withColumns({"at_ms": at_ms, "shard": shard()}).drop("at").withWatermark("event_time", lateness)
+    return events.groupBy("shard").transformWithStateInPandas(
         HeldActions(int(ttl_s * 1000)), OUTCOME, "Append", "EventTime"
     )
