@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bpe, exact_dedup, langid, mixing, simhash_views
+from logwarden.llm import bpe, exact_dedup, langid, mixing, simhash_dedup
 from logwarden.llm.common import release, table, written
 from logwarden.llm.queries import vocabulary_path
 
@@ -20,8 +20,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles, the one with the smallest id stays."""
-    return simhash_views.drop_near_duplicates(docs)
+    """Of documents whose fingerprints links of 2 or fewer differing bits connect, the one with the smallest id stays."""
+    return simhash_dedup.drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import small, written
+from logwarden.llm.common import small, without, written
 
 BITS = 64
 #: Fingerprints of one cell that are compared with each other; fuller cells are searched by neighbours.
@@ -51,20 +51,24 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id and fp, the 64-bit SimHash of its word shingles as a long.
+def fingerprints(
+    docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None
+) -> DataFrame:
+    """One row per input row: id and fp, the 64-bit SimHash of its word shingles as a long, and ``key`` (a long), if given.
 
     A-Z count as lower case. Null and empty texts have fingerprint 0.
     """
+    more = [] if key is None else ["key"]
 
     def work(batches):
         for batch in batches:
             values = [signed(majority(shingle_hashes((x.as_py() or b"").lower(), size))) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, type=pa.int64())], names=["id", "fp"])
+            columns = [batch.column(0), pa.array(values, type=pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary")).mapInArrow(
-        work, "id long, fp long"
-    )
+    given = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")]
+    given += [] if key is None else [key.cast("long").alias("key")]
+    return docs.select(*given).mapInArrow(work, ", ".join(f"{c} long" for c in ("id", "fp", *more)))
 
 
 def joint_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -247,6 +251,17 @@ def components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _component_ids(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of ``rows`` (id, fp); root is the component's smallest fingerprint."""
+    firsts = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    roots = components(links(firsts.select("fp"), radius))
+    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -257,10 +272,25 @@ def near_duplicates(
     share fingerprint 0. An empty table gives an empty result.
     """
     rows = written(fingerprints(docs, size, id_col, text_col), "simhash-rows")
-    firsts = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = components(links(firsts.select("fp"), radius))
-    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return rows.join(_component_ids(rows, radius), "fp").select("id", "fp", "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component, with all their columns.
+
+    The row with the smallest id of a component stays; of several with that id the one whose
+    text has the smallest hash, and of rows that repeat id and text one. Null ids are passed
+    over while the component has another. Null and empty texts share fingerprint 0, so one of
+    them stays. An empty table gives an empty result.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = written(fingerprints(docs, size, id_col, text_col, key), "simhash-rows")
+    placed = written(rows.join(_component_ids(rows, radius), "fp").select("id", "key", "root", "component_id"), "simhash-placed")
+    own = F.col("id").eqNullSafe(F.col("component_id"))
+    kept = placed.where(own).groupBy("root").agg(F.min("key").alias("kept_key"))
+    stays = own & (F.col("key") == F.col("kept_key"))
+    marks = written(placed.join(kept, "root").select("id", "key", stays.alias("kept")), "simhash-marks")
+    again = marks.where("kept").groupBy("id", "key").count().where("count > 1")
+    return without(docs, id_col, key, marks.where("NOT kept"), again)

@@ -295,6 +295,23 @@ def test_mix_meets_its_targets(spark, sf, hot):
         assert abs(sum(r["taken"] for r in mine) - target[s]) <= max(0.03 * target[s], min(r["size"] for r in mine if r["size"]))
 
 
+def test_pipeline_links_near_copies_by_fingerprints(spark, sf, corpus):
+    """The stage drops what the fingerprints' links connect, by GPH; an id may name several texts or none."""
+    rows = [*corpus, (None, "a text of its own words without an id"), (None, "other words that have no id as well")]
+    rows += [(10_000_000 + i, f"{t} tail") for i, t in corpus[::3]]
+    rows += [(corpus[0][0], "an id that comes twice with another text here")]
+    df = spark.createDataFrame(rows, TEXT)
+    prints = [r[0] & (2**64 - 1) for r in simhash_dedup.fingerprints(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], TEXT)).orderBy("id").select("fp").collect()]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    low = roots(list(range(len(rows))), near)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(low[k], []).append(i)
+    want = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
+    got = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, sf).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) < len(rows)
+
+
 def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     ids = {r["doc_id"] for r in out}
