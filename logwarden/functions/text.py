@@ -53,6 +53,8 @@ NUMERIC_KEYS = (
     "user_?id|uid|pid|tid|txn_?id|order_?id|session_?id|batch_?id|request_?id|req_?id|"
     "job_?id|task_?id|conn_?id|attempt|count|code|line|exit|status_code|fd"
 )
+#: What every one of these keys ends in.
+KEY_ENDS = "id|attempt|count|code|line|exit|fd"
 DIGIT = r"(?U)\d"
 
 MASKS = (
@@ -148,7 +150,9 @@ MASKS = (
         "numeric_id",
         "<NUM_ID>",
         rf"(?iU)(?:(?:{NUMERIC_KEYS})[=:\s\x1c-\x1f]+\d+|\b\d{{6,}}\b)",
-        lambda t, digit: digit & t.rlike(r"(?U)[=:\s\x1c-\x1f]\d|\d{6}"),
+        lambda t, digit: digit
+        & t.rlike(r"(?U)[=:\s\x1c-\x1f]\d|\d{6}")
+        & t.rlike(rf"(?iU)(?:{KEY_ENDS})[=:\s\x1c-\x1f]+\d|\d{{6}}"),
     ),
 )
 MASK_BY_NAME = {mask.name: mask for mask in MASKS}

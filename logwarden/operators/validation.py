@@ -40,8 +40,23 @@ def parse_timestamp(text: Column) -> Column:
         micros = F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
         return F.when(n.isNotNull(), micros).otherwise(instant)
 
-    # Bound as a lambda variable, the number is parsed once per row.
-    return F.get(F.transform(F.array(text.try_cast("double")), from_number), F.lit(0))
+    # Bound as a lambda variable, the number is parsed once per row. No number holds a colon,
+    # and a text that is not one costs an exception.
+    number = F.when(~text.contains(":"), text.try_cast("double"))
+    return F.get(F.transform(F.array(number), from_number), F.lit(0))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, whatever refers to them.
+
+    A filter on a plain column is moved below it, where the expression is run a second time
+    and all its uses multiply. What a generator puts out stays where it is.
+    """
+    made = df.withColumns(columns)
+    row = F.struct(*[F.col(name) for name in columns])
+    rest = [F.col(f"`{c}`") for c in df.columns]
+    out = made.select(*rest, F.explode(F.array(row)).alias("_once"))
+    return out.select(*rest, *[F.col(f"_once.{name}") for name in columns])
 
 
 def validate(events: DataFrame, now: Column | None = None) -> DataFrame:
@@ -50,12 +65,15 @@ def validate(events: DataFrame, now: Column | None = None) -> DataFrame:
     NULL level, timestamp and metadata mean "not given" and take their defaults.
     Columns other than the five event fields pass through.
     """
-    service = _clean_service(F.col("service_name"))
-    message = strip(F.col("message"))
-    level = F.coalesce(F.col("level"), F.lit("INFO"))
     given = F.col("timestamp")
     is_text = dict(events.dtypes)["timestamp"] == "string"
-    parsed = parse_timestamp(given) if is_text else given.cast("timestamp")
+    cleaned = {
+        "_checked_service": _clean_service(F.col("service_name")),
+        "_checked_message": strip(F.col("message")),
+        "_checked_time": parse_timestamp(given) if is_text else given.cast("timestamp"),
+    }
+    service, message, parsed = (F.col(name) for name in cleaned)
+    level = F.coalesce(F.col("level"), F.lit("INFO"))
     default_time = F.current_timestamp() if now is None else now
     when = F.when(given.isNull(), default_time).otherwise(parsed)
     checks = {
@@ -64,7 +82,7 @@ def validate(events: DataFrame, now: Column | None = None) -> DataFrame:
         "level": level.isin(*LEVELS),
         "timestamp": given.isNull() | parsed.isNotNull(),
     }
-    return events.withColumns(
+    return once(events, cleaned).withColumns(
         {
             "errors": _errors(checks),
             "service_name": service,
@@ -73,7 +91,7 @@ def validate(events: DataFrame, now: Column | None = None) -> DataFrame:
             "timestamp": when,
             "metadata": F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")),
         }
-    )
+    ).drop(*cleaned)
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -107,15 +125,16 @@ def validate_json(lines: DataFrame, column: str = "value", now: Column | None =
     )
     texts = {n: F.when(F.col(f"_k_{n}") == "STRING", F.col(f"_t_{n}")) for n in names}
     time_ok = F.col("_k_timestamp").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$")
-    clean = got.withColumns(
+    clean = once(
+        got,
         {
             "_service": _clean_service(texts["service_name"]),
             "_message": strip(texts["message"]),
             "_level": F.when(F.col("_k_level").isNull(), F.lit("INFO")).otherwise(texts["level"]),
             "_time": F.when(time_ok, parse_timestamp(F.col("_t_timestamp"))),
-        }
+            "_meta_ok": F.forall(F.map_values("_values"), lambda v: F.schema_of_variant(v) == "STRING"),
+        },
     )
-    meta_ok = F.forall(F.map_values("_values"), lambda v: F.schema_of_variant(v) == "STRING")
     default_time = F.current_timestamp() if now is None else now
     no_time = F.col("_k_timestamp").isNull()
     checks = {
@@ -123,7 +142,7 @@ def validate_json(lines: DataFrame, column: str = "value", now: Column | None =
         "message": _length_between(F.col("_message"), MESSAGE_MAX),
         "level": F.col("_level").isin(*LEVELS),
         "timestamp": no_time | F.col("_time").isNotNull(),
-        "metadata": ~F.col("_given") | meta_ok,
+        "metadata": ~F.col("_given") | F.col("_meta_ok"),
     }
     return clean.select(
         *lines.columns,

@@ -243,23 +243,30 @@ def _from_view(spark: SparkSession, rows: DataFrame, source: str, name: str) ->
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table as a DataFrame; event time becomes ``timestamp``."""
+def _spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt to all cores, ahead of costly work on them: a file has as many tasks as row groups, often few."""
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, F.xxhash64(*[f"`{c}`" for c in rows.columns]))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One derived table as a DataFrame; event time becomes ``timestamp``. ``spread`` deals its rows to all cores."""
     source = "conversations" if name == "frames" else "events"
-    return _from_view(spark, read(spark, sf_dir, source), source, name)
+    rows = read(spark, sf_dir, source)
+    return _from_view(spark, _spread(rows) if spread else rows, source, name)
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table as a stream over the events files."""
+def stream(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One derived table as a stream over the events files; see :func:`table`."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A glob reaches the table whether it is one file or a folder of files.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return _from_view(spark, events, "events", name)
+    return _from_view(spark, _spread(events) if spread else events, "events", name)
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log rows with timestamp and metadata, plus user_id, value, k, raw and score."""
-    df = table(spark, sf_dir, "logs")
+def logs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Log rows with timestamp and metadata, plus user_id, value, k, raw and score; see :func:`table`."""
+    df = table(spark, sf_dir, "logs", spread)
     return df.withColumn("metadata", F.create_map(F.lit("k"), F.col("k").cast("string"))).withColumnRenamed(
         "ts", "timestamp"
     )

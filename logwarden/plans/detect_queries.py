@@ -57,7 +57,7 @@ _SIMILAR = """
 
 @query("embed_messages")
 def embed_messages(spark, sf_dir):
-    templated = add_template(derived.logs(spark, sf_dir))
+    templated = add_template(derived.logs(spark, sf_dir, spread=True))
     encoded = vectors.encode(templated)
     return encoded.select(
         "stream_id", F.size("vector").alias("dim"), F.round(norm(F.col("vector")), 4).alias("norm")
@@ -354,7 +354,7 @@ def context_rows(spark, sf_dir):
 @query("detect_incidents")
 def detect_incidents(spark, sf_dir):
     """The whole detection plan: templates, vectors, trained forest, threshold, context."""
-    found = detection.detect(derived.logs(spark, sf_dir), detected_at=F.lit(0.0))
+    found = detection.detect(derived.logs(spark, sf_dir, spread=True), detected_at=F.lit(0.0))
     return found.select(
         "incident_id", "service_name", "normalized_message", "anomaly_score", "context_window_size"
     )

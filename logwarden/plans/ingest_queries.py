@@ -25,7 +25,7 @@ def map_text(col, by=","):
 
 
 def _raw_events(spark, sf_dir):
-    raw = derived.table(spark, sf_dir, "logs_raw")
+    raw = derived.table(spark, sf_dir, "logs_raw", spread=True)
     meta = F.create_map(F.lit("k"), F.col("k").cast("string"))
     return raw.select(
         "stream_id", "service_name", "level", "message", F.col("time_text").alias("timestamp"), meta.alias("metadata")
@@ -423,7 +423,7 @@ _register_masks()
     """SELECT stream_id, trim(regexp_replace(message, ' {2,}', ' ', 'g')) AS collapsed FROM logs_raw""",
 )
 def collapse_whitespace(spark, sf_dir):
-    raw = derived.table(spark, sf_dir, "logs_raw")
+    raw = derived.table(spark, sf_dir, "logs_raw", spread=True)
     return raw.select("stream_id", templates.collapse_spaces(F.col("message")).alias("collapsed"))
 
 
@@ -435,7 +435,7 @@ def collapse_whitespace(spark, sf_dir):
     "normalized_message <> raw AS changed FROM chain",
 )
 def normalize_full(spark, sf_dir):
-    out = templates.normalize(derived.logs(spark, sf_dir))
+    out = templates.normalize(derived.logs(spark, sf_dir, spread=True))
     return out.select("stream_id", "normalized_message", "total_replacements", "changed")
 
 
@@ -450,7 +450,7 @@ def normalize_full(spark, sf_dir):
     + ") SELECT stream_id, placeholder, n FROM cells WHERE n > 0",
 )
 def token_counts(spark, sf_dir):
-    out = templates.normalize(derived.logs(spark, sf_dir))
+    out = templates.normalize(derived.logs(spark, sf_dir, spread=True))
     # The outer form adds no filter on the map, which would run the chain twice.
     cells = out.select("stream_id", F.explode_outer("token_counts").alias("placeholder", "n"))
     return cells.filter(F.col("n") > 0)
