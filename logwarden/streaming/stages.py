@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -85,7 +86,8 @@ def with_ids(written: DataFrame, batch_id: int) -> DataFrame:
 def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -> StreamingQuery:
     """Validated events to ``telemetry`` and ``rejected``; ids are assigned here unless they carry them.
 
-    Rows without ids are written to ``received`` before they are numbered.
+    Rows without ids are written to ``received`` before they are numbered; others are
+    kept while both outputs are written, so that no line is parsed for each of them.
     """
     spark = validated.sparkSession
 
@@ -94,8 +96,13 @@ def start_ingest(validated: DataFrame, base: str, available_now: bool = False) -
             given = placed(batch)
             write_once(given, f"{base}/received", batch_id)
             batch = with_ids(spark.read.schema(given.schema).parquet(f"{base}/received/batch_id={batch_id}"), batch_id)
-        write_once(accepted(batch), f"{base}/telemetry", batch_id, ROWS)
-        write_once(rejected(batch), f"{base}/rejected", batch_id)
+        else:
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_once(accepted(batch), f"{base}/telemetry", batch_id, ROWS)
+            write_once(rejected(batch), f"{base}/rejected", batch_id)
+        finally:
+            batch.unpersist()
 
     make_folder(validated.sparkSession, f"{base}/telemetry")
     return start_batches(validated, f"{base}/_checkpoints/ingest", handle, available_now)
