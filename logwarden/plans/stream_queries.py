@@ -20,7 +20,7 @@ from logwarden.streaming import approvals, files, keyed, stages, windows
 def _ingest(spark, sf_dir):
     """All JSON lines of the events, validated and written by the ingest stage."""
     base = scratch_path(spark, "ingest")
-    lines = derived.stream(spark, sf_dir, "json_lines")
+    lines = derived.stream(spark, sf_dir, "json_lines", spread=True)
     stages.start_ingest(validate_json(lines, "line"), base, True).awaitTermination()
     return base
 
@@ -179,7 +179,7 @@ def stream_response(spark, sf_dir):
 
 def _respond(spark, sf_dir, base):
     """The derived incidents through analysis and remediation."""
-    inc = derived.stream(spark, sf_dir, "incidents")
+    inc = derived.stream(spark, sf_dir, "incidents", spread=True)
     shaped = inc.select(
         "incident_id", F.col("stream_id").cast("string").alias("source_stream_id"), "service_name",
         time_text("ts").alias("timestamp"), "level", F.col("message").alias("raw_message"),
