@@ -98,33 +98,58 @@ def _subsamples(vectors: DataFrame, key: str, rows: int, trees: int, subsample:
     return drawn.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= subsample)
 
 
+#: Nodes of narrow rows that are smaller than this are split as lists, which costs less than calls on tiny arrays.
+LIST_ROWS = 24
+LIST_DIM = 8
+
+
 def grow(x: np.ndarray, tree: int, seed: int, limit: int) -> pd.DataFrame:
     """One isolation tree over the rows of x, as a node table."""
     rng = np.random.default_rng([seed, tree])
-    table: list[list] = []
-    waiting = [(np.arange(len(x)), 0, -1, 0)]
+    lists = LIST_ROWS if x.shape[1] <= LIST_DIM and not np.isnan(x).any() else 0
+    feature, threshold, path = [], [], []
+    sides: tuple[list, list] = ([], [])
+    waiting = [(x, 0, -1, 0)]
     while waiting:
         rows, depth, parent, side = waiting.pop()
-        node = len(table)
+        node, size = len(feature), len(rows)
         if parent >= 0:
-            table[parent][side] = node
-        low = high = None
-        if depth < limit and len(rows) > 1:
-            part = x[rows]
-            low, high = part.min(axis=0), part.max(axis=0)
-        varying = np.flatnonzero(high > low) if low is not None else ()
-        if len(varying) == 0:
-            table.append([tree, node, -1, 0.0, 0, 0, depth + average_path(len(rows))])
-            continue
-        f = int(rng.choice(varying))
-        cut = float(rng.uniform(low[f], high[f]))
-        if cut >= high[f]:
-            cut = float(low[f])
-        goes_left = x[rows, f] <= cut
-        table.append([tree, node, f, cut, 0, 0, 0.0])
-        waiting.append((rows[~goes_left], depth + 1, node, 5))
-        waiting.append((rows[goes_left], depth + 1, node, 4))
-    return pd.DataFrame(table, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+            sides[side][parent] = node
+        sides[0].append(0)
+        sides[1].append(0)
+        if depth < limit and size > 1:
+            if size < lists and not isinstance(rows, list):
+                rows = rows.tolist()
+            if isinstance(rows, list):
+                columns = list(zip(*rows))
+                low, high = [min(c) for c in columns], [max(c) for c in columns]
+                varying = [f for f, v in enumerate(low) if high[f] > v]
+            else:
+                low, high = np.minimum.reduce(rows), np.maximum.reduce(rows)
+                varying = np.flatnonzero(high > low)
+            if len(varying):
+                f = int(varying[rng.integers(0, len(varying))])
+                least, most = float(low[f]), float(high[f])
+                cut = rng.uniform(least, most)
+                if cut >= most:
+                    cut = least
+                if isinstance(rows, list):
+                    above, upto = [r for r in rows if not r[f] <= cut], [r for r in rows if r[f] <= cut]
+                else:
+                    goes_left = rows[:, f] <= cut
+                    above, upto = rows[~goes_left], rows[goes_left]
+                feature.append(f)
+                threshold.append(cut)
+                path.append(0.0)
+                waiting.append((above, depth + 1, node, 1))
+                waiting.append((upto, depth + 1, node, 0))
+                continue
+        feature.append(-1)
+        threshold.append(0.0)
+        path.append(depth + average_path(size))
+    return pd.DataFrame(
+        {"tree": tree, "node": range(len(feature)), "feature": feature, "threshold": threshold, "left": sides[0], "right": sides[1], "path": path}
+    )
 
 
 def fit(
@@ -176,21 +201,22 @@ def raw_scores(arrays: tuple, x: np.ndarray, subsample: int, offset: float = AUT
     feature, threshold, left, right, path = arrays
     depth = max(1, math.ceil(math.log2(max(2, subsample))))
     scale = average_path(subsample)
-    tree = np.arange(feature.shape[0])[None, :]
+    # Nodes of all trees in one row of cells: a leaf leads to itself, by whatever value.
+    first = np.arange(feature.shape[0])[:, None] * feature.shape[1]
+    own = first + np.arange(feature.shape[1])
+    leaf = feature < 0
+    left, right = (np.where(leaf, own, first + side).ravel() for side in (left, right))
+    feature, threshold, path = np.maximum(feature, 0).ravel(), threshold.ravel(), path.ravel()
     out = np.empty(len(x))
     for start in range(0, len(x), 1024):
         part = x[start : start + 1024]
-        row = np.arange(len(part))[:, None]
-        at = np.zeros((len(part), feature.shape[0]), dtype=np.int32)
+        base = np.arange(len(part))[:, None] * part.shape[1]
+        part = part.ravel()
+        at = np.repeat(first.T, len(base), axis=0)
         for _ in range(depth):
-            f = feature[tree, at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            value = part[row, np.maximum(f, 0)]
-            step = np.where(value <= threshold[tree, at], left[tree, at], right[tree, at])
-            at = np.where(inner, step, at)
-        depths = path[tree, at].mean(axis=1)
+            value = part.take(base + feature.take(at))
+            at = np.where(value <= threshold.take(at), left.take(at), right.take(at))
+        depths = path.take(at).mean(axis=1)
         out[start : start + 1024] = -np.power(2.0, -depths / scale) - offset
     return out
 

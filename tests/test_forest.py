@@ -85,3 +85,20 @@ def test_every_row_can_be_drawn_at_any_size(spark, rows):
     used = forest._subsamples(df, "stream_id", rows, 100, 256, 42).select(F.count_distinct("stream_id")).first()[0]
     expected = rows * (1 - (1 - 256 / rows) ** 100)
     assert abs(used - expected) < 0.02 * expected
+
+
+def test_lists_grow_the_trees_of_arrays(monkeypatch):
+    x = np.random.default_rng(3).normal(size=(256, 4))
+    x[:, 1] = np.round(x[:, 1])
+    x[:, 3] = 2.0
+    called = []
+    least = np.minimum
+
+    class Counted:
+        reduce = staticmethod(lambda rows: called.append(len(rows)) or least.reduce(rows))
+
+    monkeypatch.setattr(forest.np, "minimum", Counted)
+    lists = forest.grow(x, 5, 42, 8)
+    assert called and min(called) >= forest.LIST_ROWS  # small nodes cost no array calls
+    monkeypatch.setattr(forest, "LIST_ROWS", 0)
+    assert lists.equals(forest.grow(x, 5, 42, 8))
