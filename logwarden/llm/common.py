@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Values that operators have sent to the executors and that no written result needs any more.
-_SHARED: list[Broadcast] = []
+#: The last values that operators have sent to the executors. What is held here stays in the driver's memory; a value
+#: that is not goes from there with the last plan that uses it.
+_SHARED: deque[Broadcast] = deque(maxlen=4)
 
 
 def share(spark: SparkSession, value) -> Broadcast:
@@ -47,7 +49,7 @@ def share(spark: SparkSession, value) -> Broadcast:
 def release() -> None:
     """Drop the executors' copies of all shared values, once what was computed with them is written.
 
-    The driver keeps them: a plan that is run again sends them again.
+    The driver keeps them for as long as a plan uses them: one that is run again sends them again.
     """
     while _SHARED:
         _SHARED.pop().unpersist()

@@ -1,10 +1,15 @@
 """Edge cases that every operator and stage handles: nulls, empty and long texts, ties, repeats, clashing names."""
 
+import gc
+import weakref
+
 import pytest
+from pyspark.core.context import SparkContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logwarden.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, simhash_dedup, simhash_views, substring_dedup, topk, toxicity
+from logwarden.llm.common import share
 from logwarden.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +80,47 @@ def test_last_stage(spark, docs, empty):
     assert corpus_pipeline.STAGES[-1][1](spark, empty, "").count() == 0
 
 
+def test_stages_let_go_of_what_earlier_ones_sent(spark, docs, tmp_path, monkeypatch):
+    """Stages called one by one, as a driver of many runs does: no model or vocabulary of an earlier one is held."""
+    sent, broadcast = [], SparkContext.broadcast
+
+    def noted(self, value):
+        out = broadcast(self, value)
+        sent.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", noted)
+    for run in range(2):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{run}-{name}")
+            stage(spark, rows, "").write.parquet(path)
+            rows = spark.read.parquet(path)
+    gc.collect()
+    assert len(sent) == 4 and [x() is None for x in sent[:3]] == [True] * 3
+
+
+def test_shared_values_are_held_in_bounded_number(spark):
+    held = [weakref.ref(share(spark, [k])) for k in range(40)]
+    gc.collect()
+    assert sum(x() is not None for x in held) <= 4
+    assert held[-1]().value == [39]
+
+
+def test_mixing_joins_a_step_once(spark, docs, monkeypatch):
+    """Each joined table is built in the driver's memory and stays there until it collects its garbage."""
+    plans, write = [], mixing.written
+
+    def noted(df, label):
+        if label in ("mix-state", "mix-moves"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(mixing, "written", noted)
+    mixing.mix(docs)
+    assert len(plans) > 8 and max(p.count("Join ") for p in plans) <= 1
+
+
 def test_exact_groups(docs):
     got = {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.mark_duplicates(docs).collect()}
     assert {(1, 1, 3, True), (2, 1, 3, False), (3, 3, 3, True), (4, 3, 3, False), (None, 3, 3, False)} <= got
